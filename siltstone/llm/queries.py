@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, sharding, simhash
+from . import decontaminate, mixing, pii, quality, secrets, sharding, simhash, tokens, toxicity
 from .common import read
 
+#: A ranks file of a byte-level BPE vocabulary, on every node.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A deployment passes its own secret to pii.pseudonymise.
+KEY = b"key of the registered query"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,16 +29,32 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(read(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), key=KEY)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_simhash, op6_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_simhash, op4_tokens, op5_secrets, op6_quality, op7_pii, op8_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
