@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, quality, secrets, sharding, simhash, tokens, toxicity
+from . import ann, decontaminate, mixing, pii, quality, secrets, sharding, simhash, tokens, toxicity
 from .common import read
 
 #: A ranks file of a byte-level BPE vocabulary, on every node.
@@ -49,12 +49,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_simhash, op4_tokens, op5_secrets, op6_quality, op7_pii, op8_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_simhash, op4_tokens, op5_secrets, op6_quality, op7_pii, op8_toxicity, op9_ann, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
