@@ -26,6 +26,14 @@ def narrow(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{own}`").alias(name) for name, own in columns.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many signs _ before it as keep it apart from the columns of ``df``."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def bounded_sample(labels: DataFrame, limit: int, seed: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``limit`` rows of ``labels`` with an id, chosen by the least hash of the id.
 

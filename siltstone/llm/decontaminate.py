@@ -111,11 +111,15 @@ def passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
 
         part = narrow(docs, {"id": id_col, "text": text_col}).mapInArrow(run, SCHEMA)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumnRenamed("doc_id", id_col)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that share no passage with the benchmark, with all their columns."""
+    """The rows of ``docs`` that share no passage with the benchmark, with all their columns.
+
+    Null and empty texts share none and stay; rows that repeat share one fate; an empty benchmark
+    removes nothing.
+    """
     at = docs.columns.index(text_col)
     for items in items_of(benchmark, item_col, item_text_col):
         patterns = windows(items, window)

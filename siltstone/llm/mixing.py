@@ -205,7 +205,10 @@ def rates(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float] | Non
 
 
 def mix(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``docs`` with each row as often as its copies say, all columns kept; texts are classified again, not shuffled."""
+    """``docs`` with each row as often as its copies say, all columns kept; texts are classified again, not shuffled.
+
+    Nulls, repeated rows and empty tables as in ``rates``.
+    """
     model, _ = fit(docs, labels, weights=weights, id_col=id_col, text_col=text_col, domain_col=domain_col, max_labelled=max_labelled)
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
 

@@ -140,7 +140,10 @@ def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The kept rows of ``docs`` with all their columns; the texts are scored again instead of shuffled."""
+    """The kept rows of ``docs`` with all their columns; the texts are scored again instead of shuffled.
+
+    Nulls, ties, repeated rows and empty tables as in ``resample``; a null id draws as id 0.
+    """
     ratio, share = fit(docs, labels, id_col=id_col, text_col=text_col, max_labelled=max_labelled)
     least = threshold(cut(scores(docs, ratio, id_col, text_col)), share)
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, narrow
+from .common import cut, fresh, narrow
 
 DIMS, BITS = 3, 6
 CELLS = 1 << BITS
@@ -150,11 +150,12 @@ def sharded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         at = np.rec.fromarrays([h.to_numpy(np.int64), ids.to_numpy(np.int64)], names="h,id")
         return pd.Series(np.searchsorted(first, at, "right").astype(np.int32) - 1).clip(lower=0)
 
-    key = {"__lang": F.coalesce(F.col(f"`{lang_col}`"), F.lit("")), "__source": F.coalesce(F.col(f"`{source_col}`"), F.lit("")), "__z": length_cell(F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))), "__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1))}
-    wide = docs.withColumns(key).join(langs.select(F.col("value").alias("__lang"), F.col("cell").alias("__x")), "__lang").join(sources.select(F.col("value").alias("__source"), F.col("cell").alias("__y")), "__source")
-    wide = wide.withColumn("hilbert", hilbert_index("__x", "__y", "__z")).withColumn("__at", place("hilbert", "__id"))
-    wide = wide.repartitionById(len(starts), F.col("__at")).sortWithinPartitions("hilbert", "__id")
-    return wide.select(*[F.col(f"`{c}`") for c in docs.columns], "hilbert", F.col("__at").cast("long").alias("shard"))
+    lang, source, z, at_id, x, y, at = (fresh(docs, n) for n in ("__lang", "__source", "__z", "__id", "__x", "__y", "__at"))
+    key = {lang: F.coalesce(F.col(f"`{lang_col}`"), F.lit("")), source: F.coalesce(F.col(f"`{source_col}`"), F.lit("")), z: length_cell(F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))), at_id: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1))}
+    wide = docs.withColumns(key).join(langs.select(F.col("value").alias(lang), F.col("cell").alias(x)), lang).join(sources.select(F.col("value").alias(source), F.col("cell").alias(y)), source)
+    wide = wide.withColumn("hilbert", hilbert_index(x, y, z)).withColumn(at, place("hilbert", at_id))
+    wide = wide.repartitionById(len(starts), F.col(at)).sortWithinPartitions("hilbert", at_id)
+    return wide.select(*[F.col(f"`{c}`") for c in docs.columns], "hilbert", F.col(at).cast("long").alias("shard"))
 
 
 def oracle_sql(target: int = TARGET_CHARS) -> str:

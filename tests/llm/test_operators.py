@@ -1,0 +1,246 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from siltstone.llm import ann, decontaminate, mixing, pii, quality, secrets, sharding, simhash, tokens, toxicity
+from siltstone.llm.common import read
+from siltstone.llm.queries import KEY, VOCABULARY
+
+from . import brute
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return read(spark, sf, "documents")
+
+
+@pytest.fixture(scope="module")
+def plain(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+
+
+def test_rates_against_dense_descent(spark, sf, docs):
+    labels = read(spark, sf, "labels")
+    got = mixing.rates(docs, labels).orderBy("doc_id").collect()
+    p, n = np.array([r["posterior"] for r in got]), np.array([r["n_tokens"] for r in got], float)
+    target = mixing.tempered(p.T @ n)
+    rate = np.array([r["rate"] for r in got])
+    assert np.abs(rate - brute.rates(p, n, target)).max() < 1e-3
+    assert rate.min() >= 0
+    assert np.abs(p.T @ (n * rate) - target).max() < 2e-3 * target.sum()
+    own = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert np.mean([own[r["doc_id"]] == r["domain"] for r in got if r["n_tokens"] > 5]) > 0.95
+
+
+def test_weights_are_reached(spark, sf, docs):
+    want = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
+    got = mixing.rates(docs, read(spark, sf, "labels"), weights=want).collect()
+    model, _ = mixing.fit(docs, read(spark, sf, "labels"), weights=want)
+    total = np.array([r["posterior"] for r in got]).T @ np.array([r["n_tokens"] * r["rate"] for r in got])
+    share = dict(zip(model.domains, total / total.sum(), strict=True))
+    assert all(abs(share[d] - w) < 0.01 for d, w in want.items())
+
+
+def test_passages_against_all_windows(spark, sf, docs, plain):
+    bench = read(spark, sf, "benchmark")
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    whole = [(10**6 + k, f"Before, {t.upper()}!\n\nafter") for k, (_, t) in enumerate(items[:3])] + [(10**6 + 9, " ".join(items[4][1].split()[:8])), (10**6 + 10, " ".join(items[4][1].split()[:7]))]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(whole, "doc_id long, text string"))
+    got = sorted((tuple(r) for r in decontaminate.passages(more, bench).collect()), key=str)
+    assert got == brute.passages(plain + whole, items)
+    assert {10**6, 10**6 + 1, 10**6 + 2, 10**6 + 9} <= {r[0] for r in got}
+    assert 10**6 + 10 not in {r[0] for r in got}
+    clean = {r["doc_id"] for r in decontaminate.keep_clean(more, bench).collect()}
+    assert clean == {i for i, _ in plain + whole} - {r[0] for r in got}
+
+
+def test_duplicates_against_all_pairs(docs, plain):
+    got = {r["doc_id"]: r["duplicate_of"] for r in simhash.duplicates(docs).collect()}
+    assert got == brute.roots(plain)
+
+
+def test_planted_copies(spark, plain):
+    rng = np.random.RandomState(3)
+    base = [(i, t) for i, t in plain if t and len(t.split()) > 60][:40]
+    near = []
+    for k, (_, t) in enumerate(base):
+        words = t.split()
+        for at in rng.choice(len(words), max(1, len(words) // 50), replace=False):
+            words[at] = "changed"
+        near.append((10**6 + k, " ".join(words)))
+    got = {r["doc_id"]: r["duplicate_of"] for r in simhash.duplicates(spark.createDataFrame(base + near, "doc_id long, text string")).collect()}
+    assert np.mean([got.get(10**6 + k) == got.get(i, i) for k, (i, _) in enumerate(base)]) >= 0.95
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    import base64
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(VOCABULARY, "rb") if line.strip())}
+    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+    return tiktoken.Encoding("test", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_tokens_against_encoder(docs, plain, encoding):
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs, VOCABULARY).collect()}
+    assert got == {i: len(encoding.encode_ordinary(t or "")) for i, t in plain}
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60) | st.text(alphabet=" \n\t'sdlvreA1é.☃", max_size=400), min_size=1, max_size=30))
+def test_tokens_of_any_text(spark, encoding, texts):
+    got = tokens.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), VOCABULARY).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(encoding.encode_ordinary(t)) for i, t in enumerate(texts)}
+
+
+def test_secrets_against_counts(docs):
+    rows = [r.asDict() for r in docs.collect()]
+    where = {}
+    want = []
+    for r in rows:
+        for kind, a, b, value in secrets.scan(r["text"] or ""):
+            where.setdefault(value, []).append((r["doc_id"], f"{r['source']}/{r['lang']}", r["source"]))
+            want.append((r["doc_id"], a, b, kind, value))
+    got = sorted((r["doc_id"], r["start"], r["end"], r["kind"], r["n_docs"], r["n_repos"], r["n_owners"]) for r in secrets.secrets(docs).collect())
+    assert got == sorted((i, a, b, kind, *[len({w[c] for w in where[v]}) for c in range(3)]) for i, a, b, kind, v in want)
+
+
+def test_copied_secret_is_an_example(spark):
+    text = 'token = "q8Zr1LxTv60pWmKd3YbN"'
+    own = 'token = "7hGf2KpVw91xRtQs5LzB"'
+    data = [(k, text, f"owner{k}", "en") for k in range(3)] + [(9, own, "owner9", "en"), (10, own, "owner9", "de")]
+    got = {r["doc_id"]: (r["verdict"], r["n_docs"], r["n_repos"], r["n_owners"]) for r in secrets.secrets(spark.createDataFrame(data, "doc_id long, text string, source string, lang string")).collect()}
+    assert got == {0: ("example", 3, 3, 3), 1: ("example", 3, 3, 3), 2: ("example", 3, 3, 3), 9: ("live", 2, 2, 1), 10: ("live", 2, 2, 1)}
+
+
+def test_resample_against_sort(spark, sf, docs, plain):
+    labels = read(spark, sf, "labels")
+    got = {r["doc_id"] for r in quality.resample(docs, labels).collect()}
+    assert got == {plain[i][0] for i in brute.kept(plain, *quality.fit(docs, labels))}
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    kept = {r["doc_id"] for r in quality.resample(docs, labels.where("doc_id % 2 = 0")).collect()}
+    held = labels.where("doc_id % 2 = 1").collect()
+    assert np.mean([r["doc_id"] in kept for r in held if r["quality"] == 1]) > 0.95
+    assert np.mean([r["doc_id"] in kept for r in held if r["quality"] == 0]) < 0.1
+
+
+def test_pseudonyms_round_trip(docs, plain):
+    there = pii.pseudonymise(docs, key=KEY)
+    back = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in pii.pseudonymise(there.drop("n_replaced"), key=KEY, back=True).collect()}
+    assert {i: t for i, (t, _) in back.items()} == dict(plain)
+    changed = {r["doc_id"]: r["n_replaced"] for r in there.collect()}
+    assert sum(changed.values()) > 10
+    assert changed == {i: n for i, (_, n) in back.items()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 400), st.binary(min_size=1, max_size=20))
+def test_feistel_is_a_permutation(size, key):
+    image = [pii.permute(k, size, key, "t") for k in range(size)]
+    assert sorted(image) == list(range(size))
+    assert [pii.permute(v, size, key, "t", inverse=True) for v in image] == list(range(size))
+
+
+@pytest.mark.parametrize("kind, value", [("card", "4111 1111-1111 1111"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ipv4", "10.0.200.7"), ("phone", "+1 (415) 555-2671"), ("ssn", "219-09-9999"), ("iso_date", "2024-02-29"), ("day_first", "31.12.1999"), ("email", "Jane.Doe7@mail.example.org")])
+def test_pseudonyms_keep_their_format(kind, value):
+    text = f"see {value}, twice {value}."
+    new, n = pii.replace(text, KEY)
+    (k, a, b, one), (_, _, _, two) = pii.spans(text, KEY)
+    assert n == 2 and k == kind and one == two != value and len(one) == len(value)
+    assert [c.isdigit() for c in one] == [c.isdigit() for c in value]
+    assert pii.spans(new, KEY)[0][0] == kind  # the new value is valid too
+    assert pii.replace(new, KEY, back=True)[0] == text
+
+
+def test_invalid_values_stay():
+    text = "4111 1111 1111 1112, 300.1.1.1, 000-12-3456, 2023-02-30, 31.02.1999"
+    assert pii.replace(text, KEY) == (text, 0)
+
+
+def score(text):
+    s, n = toxicity.score_texts(toxicity.lexicon({}, {}, 1.0), pa.array([text]))
+    return float(s[0]), int(n[0])
+
+
+def test_grammar_weighs_clauses():
+    plain, aimed = score("such an idiot"), score("you are an idiot")
+    negated, told = score("you are not an idiot"), score('he said "you idiot"')
+    assert aimed[0] > plain[0] > 0 and negated[0] < plain[0] and 0 < told[0] < aimed[0]
+    assert score("i will kill you")[0] > aimed[0] and score("kill the process")[0] == 0
+    assert score("nothing of that kind") == (0.0, 0) and score("you idiot. you moron! fine day.")[1] == 2
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    found = {r["doc_id"] for r in toxicity.toxic(docs, labels.where("doc_id % 2 = 0")).collect()}
+    held = labels.where("doc_id % 2 = 1").collect()
+    assert np.mean([r["doc_id"] in found for r in held if r["toxic"] == 1]) > 0.85
+    assert np.mean([r["doc_id"] in found for r in held if r["toxic"] == 0]) < 0.05
+
+
+def test_neighbours_recall(spark):
+    rng = np.random.RandomState(1)
+    centres = rng.standard_normal((40, 24)) * 3
+    x = (centres[rng.randint(0, 40, 1500)] + rng.standard_normal((1500, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["neighbours"] for r in ann.neighbours(df, part_rows=100).collect()}
+    best, _ = ann.nearest(x, x, 10, np.arange(len(x)))
+    assert len(got) == len(x)
+    assert np.mean([len(set(got[i]) & set(best[i].tolist())) / 10 for i in range(len(x))]) >= 0.9
+
+
+def test_parts_are_balanced():
+    x = np.random.RandomState(2).standard_normal((999, 8)).astype(np.float32)
+    graph, _ = ann.nearest(x, x, 10, np.arange(len(x)))
+    assert np.ptp(np.bincount(ann.bisect(graph, 4))) <= 1
+
+
+def test_hilbert_neighbours_touch(spark):
+    n = sharding.CELLS
+    grid = spark.range(n**3).selectExpr(f"cast(id % {n} as int) x", f"cast(floor(id / {n}) % {n} as int) y", f"cast(floor(id / {n * n}) as int) z")
+    got = grid.withColumn("h", sharding.hilbert_index("x", "y", "z")).toPandas().sort_values("h")
+    assert got.h.tolist() == list(range(n**3))
+    step = np.abs(np.diff(got[["x", "y", "z"]].to_numpy(), axis=0)).sum(axis=1)
+    assert (step == 1).all()
+
+
+def test_pipeline_against_brute_force(spark, sf, docs):
+    labels, bench = read(spark, sf, "labels"), read(spark, sf, "benchmark")
+    rows = [tuple(r) for r in docs.orderBy("doc_id").collect()]
+    left = [rows[i] for i in brute.kept([r[:2] for r in rows], *quality.fit(docs, labels))]
+    gone = brute.roots([r[:2] for r in left])
+    left = [r for r in left if r[0] not in gone]
+    dirty = {p[0] for p in brute.passages([r[:2] for r in left], [(b["item_id"], b["text"]) for b in bench.collect()])}
+    left = [r for r in left if r[0] not in dirty]
+    assert len(rows) > len(left) > 0 and gone and dirty
+    rest = spark.createDataFrame(left, docs.schema)
+    times = {r["doc_id"]: r["copies"] for r in mixing.rates(rest, labels).collect()}
+    want = sorted(r for r in left for _ in range(times[r[0]]))
+    out = corpus_pipeline.run(spark, sf)
+    assert sorted(tuple(r)[:5] for r in out.collect()) == want
+    placed = sharding.shards(spark.createDataFrame(want, docs.schema)).select("doc_id", "hilbert").distinct()
+    assert {tuple(r) for r in placed.collect()} == {(r["doc_id"], r["hilbert"]) for r in out.collect()}
+    assert out.groupBy("shard").agg(F.min("hilbert").alias("a"), F.max("hilbert").alias("b")).count() >= 1
+
+
+def test_shards_against_sql(docs, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(sharding.oracle_sql(target=50_000)).fetchall())
+    got = sharding.shards(docs, target=50_000).select("doc_id", "hilbert", "shard").collect()
+    assert sorted(map(tuple, got)) == want
+    assert {s for _, _, s in want} != {0}
