@@ -53,9 +53,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw_n[at]), pa.array(target_n[at])], ["bucket", "raw_n", "target_n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, smoothing: float = 3.0) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, smoothing: float = 30.0) -> tuple[np.ndarray, float]:
     """Log ratio of each bucket, and the share of good documents among the labelled ones.
 
+    ``smoothing`` counts are added on both sides: words that only the fitted documents have must not
+    weigh, or all others would be rejected where few rows are labelled.
+
     The target model is fitted on at most ``max_labelled`` labelled rows; the raw model on all of
     ``docs``. Rows whose label or id is null teach nothing. Without any good document in ``docs`` the
     ratios are 0 and the share is 1, so that everything is kept.
