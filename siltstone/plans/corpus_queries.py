@@ -77,9 +77,11 @@ def clone_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ near duplicates
 
-_SHINGLES = r"""t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents),
-d AS (SELECT id, list_distinct([array_to_string(w[i:i + 4], chr(31)) for i in range(1, len(w) - 3)]) AS hs FROM t WHERE len(w) >= 5),
-s AS (SELECT id, unnest(hs) AS h FROM d WHERE len(hs) >= 40)"""
+_SHINGLES = r"""t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+g AS (SELECT id, w || chr(31) || lead(w, 1) OVER o || chr(31) || lead(w, 2) OVER o || chr(31) || lead(w, 3) OVER o || chr(31) || lead(w, 4) OVER o AS h FROM w WINDOW o AS (PARTITION BY id ORDER BY i)),
+d AS (SELECT DISTINCT id, h FROM g WHERE h IS NOT NULL),
+s AS MATERIALIZED (SELECT id, h FROM d QUALIFY count(*) OVER (PARTITION BY id) >= 40)"""
 _CANDIDATES = _SHINGLES + """,
 few AS (SELECT h FROM s GROUP BY h HAVING count(*) BETWEEN 2 AND 20),
 x AS (SELECT id, h FROM s SEMI JOIN few USING (h)),
