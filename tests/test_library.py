@@ -59,3 +59,23 @@ def test_components(spark):
 def test_short_texts_have_no_shingles(spark):
     files = spark.createDataFrame([(1, ""), (2, "a b c"), (3, None), (4, " ".join(f"w{k}" for k in range(50)))], "path long, text string")
     assert {r["id"] for r in N.word_shingles(files).collect()} == {4}
+
+
+def test_groups_above_the_frequency_window(spark, tmp_path):
+    """25 exact copies, 24 texts with two words changed each, and texts of one sentence: against all pairs of sets."""
+    base = [f"w{k}" for k in range(80)]
+    near = [[f"v{k}" for k in range(80)] for _ in range(24)]
+    for k, words in enumerate(near):
+        words[k] = words[79 - k] = f"own{k}"
+    texts = [base] * 25 + near + [[*base[:70], *"a b c d e f g h i j".split()], base[:60], [f"z{k}" for k in range(80)]]
+    rows = [(k, " ".join(t), f"s{k % 4}") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = {(i, j): len(x & y) / len(x | y) for j, y in enumerate(sets) for i, x in enumerate(sets[:j])}
+    want = {p: round(v, 6) for p, v in want.items() if v >= N.LOW}
+    got = library_queries()["neardup_pairs"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) > 25 * 24 / 2
+    assert {(r["a"], r["b"]): r["jaccard"] for r in got} == want
+    assert set(want) <= {(r["a"], r["b"]) for r in library_queries()["neardup_candidates"](spark, str(tmp_path)).collect()}
+    sizes = sorted(r["n_members"] for r in library_queries()["neardup_families"](spark, str(tmp_path)).collect())
+    assert sizes == [24, 27]
