@@ -28,9 +28,17 @@ PATTERNS = {
     "payment_key": r"\b[sr]k_live_[0-9A-Za-z]{16,}\b",
     "signed_token": r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
-    "assigned": r"(?i:\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|secret|token|passwd|password))[\"']?\s*[:=]\s*[\"']([0-9A-Za-z+/_=.-]{12,})[\"']",
+    # any prefix may stand before the keyword: DB_PASSWORD, client_secret, dbPassword
+    "assigned": r"(?i:api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|auth[_-]?token|secret|token|passwd|password)[\"']?(?:\s*(?::=|=>|[:=])\s*(?:\"(?P<double>[^\s\"]{12,})\"|'(?P<single>[^\s']{12,})')|[ \t]*(?::=|=>|[:=])[ \t]*(?P<free>[^\s\"'`]{12,}))",
 }
 ONE = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
+OWN_FORM = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items() if kind not in ("assigned", "private_key")))
+LEAST = 12
+#: Unquoted, these are names, calls and references of code, or addresses, unless the line is an assignment of a shell or .env file.
+CODE = re.compile(r"[A-Za-z_][A-Za-z_.-]*|[A-Za-z_][\w.]*[(\[].*|\d+(?:\.\d+)*", re.DOTALL)
+REFERENCE = re.compile(r"\$[A-Z_][A-Z0-9_]*|\$[{(].*|\{\{.*|\{%.*|<.*|\[.*|[A-Za-z][A-Za-z0-9+.-]*://.*", re.DOTALL)
+ENV_LINE = re.compile(r"\s*(?:export\s+|set\s+)?[\w.-]*", re.IGNORECASE)
+QUERY_PART = re.compile(r"[?&][\w.-]*$")
 #: What any candidate contains; one linear scan of a whole column discards the texts without it.
 HINT = r"(?i)akia|asia|gh[pousr]_|xox[abprs]-|_live_|eyj|-----begin|key[\"']?\s*[:=]|token[\"']?\s*[:=]|secret[\"']?\s*[:=]|passw(?:or)?d[\"']?\s*[:=]"
 WIDELY = 3
@@ -44,15 +52,40 @@ def entropy(value: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in Counter(value).values())
 
 
+def free_end(text: str, name: int, a: int, b: int) -> int:
+    """The end of the unquoted value text[a:b] of the keyword at ``name``, 0 if it is none."""
+    line = text.rfind("\n", 0, name) + 1
+    if QUERY_PART.search(text, line, name):
+        b = min([b, *(k for k in (text.find(c, a, b) for c in "&#") if k > 0)])
+    env = ENV_LINE.fullmatch(text, line, name) and text[a - 1] == "=" and text[b : b + 1] in ("", "\n", "\r")
+    if not env:
+        b = a + len(text[a:b].rstrip(".,;:)]}"))
+    value = text[a:b]
+    if b - a < LEAST or REFERENCE.fullmatch(value) or (not env and CODE.fullmatch(value)):
+        return 0
+    return b
+
+
 def scan(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value) of each candidate, left to right, without overlaps."""
-    out = []
-    for m in ONE.finditer(text):
+    out: list[tuple[str, int, int, str]] = []
+    at = 0
+    while m := ONE.search(text, at):
+        at = m.end()
         kind = m.lastgroup if m.lastgroup in PATTERNS else "assigned"
         a, b = m.span(m.re.groupindex[kind])
         if kind == "assigned":
-            group = m.re.groupindex["assigned"] + 1
-            a, b = m.span(group)
+            where = next(g for g in ("double", "single", "free") if m.group(g) is not None)
+            a, b = m.span(where)
+            inner = OWN_FORM.search(text, a, b)
+            if inner:  # a key of a form of its own counts as that, whatever stands around it
+                kind, (a, b) = inner.lastgroup, inner.span()
+            elif where == "free":
+                b = free_end(text, m.start(), a, b)
+                if not b:
+                    at = a  # what is no value may hold one: login(password="...")
+                    continue
+            at = b
         if kind == "private_key":  # the body counts, up to the closing line
             end = text.find("-----END", b)
             b = end if end > 0 else b

@@ -112,6 +112,36 @@ def test_secrets_against_counts(docs):
     assert got == sorted((i, a, b, kind, *[len({w[c] for w in where[v]}) for c in range(3)]) for i, a, b, kind, v in want)
 
 
+PLANTED = [
+    ('DB_PASSWORD = "q8Zr1LxTv60pWmKd"', "q8Zr1LxTv60pWmKd"),
+    ('AWS_SECRET_ACCESS_KEY="wJalrXUtn/K7MDENG+bPxRfiCY"', "wJalrXUtn/K7MDENG+bPxRfiCY"),
+    ("client_secret: '7hGf2KpVw91xRtQs5LzB'", "7hGf2KpVw91xRtQs5LzB"),
+    ('{"dbPassword": "Tr0ub4dor&3$x!y"}', "Tr0ub4dor&3$x!y"),
+    ("export DB_PASSWORD=pa$$w0rd!2024#x\nPORT=1", "pa$$w0rd!2024#x"),
+    ("DJANGO_SECRET_KEY=correcthorsebattery", "correcthorsebattery"),
+    ("api-key: 5fQ2mZ8vT1xK9w, and more", "5fQ2mZ8vT1xK9w"),
+    ("GET /x?access_token=5fQ2mZ8vT1xK9w&page=2", "5fQ2mZ8vT1xK9w"),
+    ("GITHUB_TOKEN=ghp_" + "a1B2" * 9, "ghp_" + "a1B2" * 9),
+    ('token=login(password="5fQ2mZ8vT1xK9w")', "5fQ2mZ8vT1xK9w"),
+    ("cfg = {'auth_token' => '5fQ2mZ8vT1xK9w'}", "5fQ2mZ8vT1xK9w"),
+]
+
+
+def test_planted_secrets_have_rows(spark):
+    """Against a list of values that does not come from the scan."""
+    import hashlib
+
+    data = [(k, f"some words\n{t}\nthe end", "me", "en") for k, (t, _) in enumerate(PLANTED)]
+    got = secrets.secrets(spark.createDataFrame(data, "doc_id long, text string, source string, lang string")).collect()
+    assert sorted((r["doc_id"], r["secret"]) for r in got) == [(k, hashlib.sha256(v.encode()).hexdigest()) for k, (_, v) in enumerate(PLANTED)]
+    assert all(data[r["doc_id"]][1][r["start"] : r["end"]] == PLANTED[r["doc_id"]][1] for r in got)
+
+
+def test_code_and_references_are_no_secrets():
+    for text in ["token = get_password_from_env()", "f(token=session_token_value, x=1)", "password: ${DB_PASSWORD_FILE}", "secret: internationalisation.", "PASSWORD=$DB_PASSWORD_1", "token: https://host.test/page1", "password = self.session.password"]:
+        assert secrets.scan(text) == [], text
+
+
 def test_copied_secret_is_an_example(spark):
     text = 'token = "q8Zr1LxTv60pWmKd3YbN"'
     own = 'token = "7hGf2KpVw91xRtQs5LzB"'
