@@ -112,6 +112,26 @@ def phone(value: str, key: bytes, back: bool) -> str | None:
     return refill(value, d[:lead] + str(permute(int(d[lead:]), 10**10, key, "phone", back)).zfill(10))
 
 
+def phone_abroad(value: str, key: bytes, back: bool) -> str | None:
+    """+ and 8 to 15 digits in any groups. The first group stays if it can be a country code, else two digits."""
+    d = _digits(value)
+    if not 8 <= len(d) <= 15:
+        return None
+    first = len(re.match(r"\d+", value[1:]).group())
+    return _behind(value, d, first if first <= 3 else 2, key, back)
+
+
+def phone_at_home(value: str, key: bytes, back: bool) -> str | None:
+    """9 to 12 digits from 0 on, in any groups; two stay."""
+    d = _digits(value)
+    return _behind(value, d, 2, key, back) if 9 <= len(d) <= 12 else None
+
+
+def _behind(value: str, d: str, lead: int, key: bytes, back: bool) -> str:
+    n = len(d) - lead
+    return refill(value, d[:lead] + str(permute(int(d[lead:]), 10**n, key, f"phone{n}", back)).zfill(n))
+
+
 def ssn(value: str, key: bytes, back: bool) -> str | None:
     """Ranked among the valid numbers: area 001-899 without 666, group 01-99, serial 0001-9999."""
     area, group, serial = (int(p) for p in value.split("-"))
@@ -150,6 +170,15 @@ def day_first(value: str, key: bytes, back: bool) -> str | None:
     return None
 
 
+def month_first(value: str, key: bytes, back: bool) -> str | None:
+    """mm/dd/yyyy with a day above 12, which day_first leaves; the new day is above 12 too."""
+    m, d, y = (int(p) for p in value.split("/"))
+    new = day(y, m, d, key, back) if d > 12 else None
+    while new and new.day <= 12:
+        new = day(new.year, new.month, new.day, key, back)
+    return new and f"{new.month:02d}/{new.day:02d}/{new.year:04d}"
+
+
 def mixed(value: str, key: bytes, tweak: str, back: bool) -> str:
     """Letters and digits permuted within their own alphabets, all other signs kept."""
     sizes = [(10, "0") if "0" <= c <= "9" else (26, "a") if "a" <= c <= "z" else (26, "A") if "A" <= c <= "Z" else (1, c) for c in value]
@@ -176,10 +205,14 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", ipv4),
     "iso_date": (r"(?<![\w/.-])\d{4}(?:-\d{2}-|/\d{2}/)\d{2}(?![\w/-])", iso_date),
     "day_first": (r"(?<![\w/.-])\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}(?![\w/-])", day_first),
+    "month_first": (r"(?<![\w/.-])\d{2}/\d{2}/\d{4}(?![\w/-])", month_first),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)", phone),
-    "card": (r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w)", card),
+    "phone_abroad": (r"(?<![\w+])\+[1-9]\d{0,14}(?:[ .-]\d{1,12}| ?\(\d{1,5}\)(?: ?\d{1,12})?)*(?!\w)", phone_abroad),
+    "phone_at_home": (r"(?<![\w+./-])(?<!\d )(?!\d{3}-\d{2}-\d{4}(?!\d))(?:\(0[1-9]\d{0,3}\) ?\d{2,8}|0[1-9]\d{0,3}[ ./-]\d{2,8})(?:[ .-]\d{2,8}){0,4}(?![ ./-]?\d)(?!\w)", phone_at_home),
+    "card": (r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)", card),
 }
+EACH = [(kind, re.compile(p)) for kind, (p, _) in KINDS.items()]
 ONE = re.compile("|".join(f"(?P<{kind}>{p})" for kind, (p, _) in KINDS.items()))
 
 
@@ -191,13 +224,64 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
 def spans(text: str, key: bytes, back: bool = False) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, new value) of each valid value, left to right."""
     out = []
-    for m in ONE.finditer(text):
-        new = pseudonym(m.lastgroup, m.group(), key, back)
-        if new is not None:
-            out.append((m.lastgroup, m.start(), m.end(), new))
+    at = 0
+    while m := ONE.search(text, at):
+        at = m.start() + 1  # if nothing here is valid, a value may still begin inside
+        if found := first_valid(text, m.start(), key, back):
+            kind, end, new = found
+            if kind == "card":
+                new = settled(text, out[-1][2] if out else 0, m.start(), end, new, key, back)
+            out.append((kind, m.start(), end, new))
+            at = end
     return out
 
 
+def ends(kind: str, text: str, m: re.Match) -> list[int]:
+    """Where a value may end that begins at ``m``: of a card each end of a run of digits, the nearest first; of a telephone number the farthest first.
+
+    A nearer end of a card takes its validity from the card alone, not from what follows, which a pseudonym of the next value changes.
+    """
+    borders = [k for k in range(m.start() + 1, m.end() + 1) if text[k - 1].isdigit() and not text[k : k + 1].isalnum() and text[k : k + 1] not in ("_", ")")]
+    if kind == "card":
+        return borders
+    return borders[::-1] if kind == "phone_abroad" else [m.end()]
+
+
+def first_valid(text: str, start: int, key: bytes, back: bool) -> tuple[str, int, str] | None:
+    """(kind, end, new value) of the value that begins at ``start``: kinds in their order."""
+    for kind, pattern in EACH:
+        if m := pattern.match(text, start):
+            for end in ends(kind, text, m):
+                new = pseudonym(kind, text[start:end], key, back)
+                if new is not None:
+                    return kind, end, new
+    return None
+
+
+def settled(text: str, after: int, start: int, end: int, new: str, key: bytes, back: bool) -> str:
+    """The first of the card's successive pseudonyms that a scan finds at this place again. ``after``: the end of the value before.
+
+    Digits before a card in one run, or the first groups of a long one, could become valid together
+    with the new digits; walking on, as permute does, keeps the way back.
+    """
+    low = max(after, start - 40)
+    before, behind = text[max(0, low - 1) : start], text[end : end + 40]
+    pattern = dict(EACH)["card"]
+
+    def moved(value: str) -> bool:
+        line, own = before + value + behind, len(before)
+        for at in range(low - max(0, low - 1), own + 1):
+            if m := pattern.match(line, at):
+                for stop in ends("card", line, m):
+                    if stop > own and (at, stop) != (own, own + len(value)) and (at < own or stop < own + len(value)) and card(line[at:stop], key, back):
+                        return True
+        return False
+
+    while moved(new):
+        new = pseudonym("card", new, key, back)
+    return new
+
+
 def replace(text: str, key: bytes, back: bool = False) -> tuple[str, int]:
     found = spans(text, key, back)
     out, at = [], 0
