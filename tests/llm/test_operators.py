@@ -66,6 +66,16 @@ def test_duplicates_against_all_pairs(docs, plain):
     assert got == brute.roots(plain)
 
 
+def test_pairs_at_the_threshold_share_a_key():
+    rng = np.random.RandomState(11)
+    a = rng.randint(0, 256, (4000, simhash.BYTES)).astype(np.uint8)
+    flips = np.zeros((4000, simhash.BYTES * 8), np.uint8)
+    np.put_along_axis(flips, np.argpartition(rng.random(flips.shape), simhash.MAX_DISTANCE, axis=1)[:, : simhash.MAX_DISTANCE], 1, axis=1)
+    b = a ^ np.packbits(flips, axis=1)
+    met = (simhash.key_rows(a) == simhash.key_rows(b)).any(axis=1)
+    assert met.mean() > 0.985
+
+
 def test_planted_copies(spark, plain):
     rng = np.random.RandomState(3)
     base = [(i, t) for i, t in plain if t and len(t.split()) > 60][:40]
