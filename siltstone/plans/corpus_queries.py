@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import findings as V
 from ..operators import lines as L
 from ..operators import neardup as N
+from ..operators.lineage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,6 +136,21 @@ def fork_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("file_a <> file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("n_pairs"), F.round(F.avg("jaccard"), 6).alias("mean_jaccard")).where("n_pairs >= 2")
 
 
+@query("matched_forks")
+def matched_forks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forks as the reference has them: families set aside, pairs matched one to one, FORK or more of them.
+
+    fork_aggregate counts raw pairs, as its SQL does. Each pair of files comes once, the lesser name first.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("path"))
+    pairs = N.outside_families(cut(document_pairs(spark, sf_dir)), docs)
+    rows = pairs.join(docs.select(F.col("id").alias("a"), F.col("path").alias("pa")), "a").join(docs.select(F.col("id").alias("b"), F.col("path").alias("pb")), "b")
+    ends = [F.when(F.col("pa") <= F.col("pb"), F.struct(F.col(x).alias("file"), F.col(y).alias("id"))).otherwise(F.struct(F.col(z).alias("file"), F.col(w).alias("id"))) for x, y, z, w in (("pa", "a", "pb", "b"), ("pb", "b", "pa", "a"))]
+    rows = rows.where("pa <> pb").select(ends[0].alias("l"), ends[1].alias("r"), "jaccard")
+    rows = rows.select(F.col("l.file").alias("file_a"), F.col("r.file").alias("file_b"), F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"), "jaccard", F.col("l.id").alias("line_a"), F.col("r.id").alias("line_b"), F.lit("").alias("name_a"), F.lit("").alias("name_b"))
+    return N.forks(N.one_to_one(rows)).withColumn("mean_jaccard", F.round("mean_jaccard", 6))
+
+
 @query("greedy_matching")
 def greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

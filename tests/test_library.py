@@ -79,3 +79,41 @@ def test_groups_above_the_frequency_window(spark, tmp_path):
     assert set(want) <= {(r["a"], r["b"]) for r in library_queries()["neardup_candidates"](spark, str(tmp_path)).collect()}
     sizes = sorted(r["n_members"] for r in library_queries()["neardup_families"](spark, str(tmp_path)).collect())
     assert sizes == [24, 27]
+
+
+def brute_forks(rows):
+    """file_a, file_b, n_pairs, mean_jaccard over plain lists: all pairs, families out, greedy matching, N.FORK or more."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t, _ in rows)}
+    source = {i: s for i, _, s in rows}
+    pairs = [(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), i, j) for i in sets for j in sets if i < j]
+    pairs = [p for p in pairs if p[0] >= N.LOW]
+    group = {i: {i} for i in sets}
+    for _, i, j in pairs:
+        if group[i] is not group[j]:
+            group[i] |= group[j]
+            for k in group[j]:
+                group[k] = group[i]
+    pairs = [(v, *((i, j) if source[i] < source[j] else (j, i))) for v, i, j in pairs if source[i] != source[j] and len({source[k] for k in group[i]}) < 3]
+    used, held = set(), {}
+    for v, i, j in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+        files = source[i], source[j]
+        if not {(files, i), (files, j)} & used:
+            used |= {(files, i), (files, j)}
+            held.setdefault(files, []).append(v)
+    return sorted((*f, len(v), round(sum(v) / len(v), 6)) for f, v in held.items() if len(v) >= N.FORK)
+
+
+def test_forks_are_matched_one_to_one(spark, tmp_path):
+    """A hot group of 12 copies in p and 7 in q counts 7 pairs, not 84; in 3 sources it is a family and counts none."""
+    def text(name, changed=0):
+        return " ".join(f"{name}{k}" if k >= changed else f"own{changed}{name}{k}" for k in range(80))
+
+    rows = [(text("hot"), "p")] * 12 + [(text("hot"), "q")] * 7
+    rows += [(text("wide"), s) for s in "rst" for _ in range(6)]
+    rows += [(text(f"m{k}x", c), s) for k in range(6) for c, s in ((k, "u"), (0, "v"))]
+    rows += [(text(f"n{k}x", k), s) for k in range(4) for s in "wz"]
+    rows = [(k * 7 % 101, t, s) for k, (t, s) in enumerate(rows)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_forks(rows)
+    assert [r[:3] for r in want] == [("p", "q", 7), ("u", "v", 6)]
+    assert sorted(map(tuple, library_queries()["matched_forks"](spark, str(tmp_path)).select("file_a", "file_b", "n_pairs", "mean_jaccard").collect())) == want
