@@ -78,6 +78,10 @@ def fingerprinted(findings: DataFrame, files: DataFrame, root: str = "") -> Data
     return rows.withColumn("fingerprint", F.left(F.sha2(raw, 256), F.lit(16))).select("rule", "severity", "file", "line", "message", "fingerprint")
 
 
+def hidden_count(findings: DataFrame, baseline: DataFrame) -> int:
+    return findings.join(baseline.select("fingerprint").distinct(), "fingerprint", "left_semi").count()
+
+
 def without_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return findings.join(baseline.select("fingerprint").distinct(), "fingerprint", "left_anti").select(*findings.columns)
 
@@ -117,8 +121,32 @@ def json_lines(findings: DataFrame) -> DataFrame:
     return ordered(findings).select(F.to_json(F.struct("rule", "severity", "file", "line", "message", "fingerprint")).alias("value"))
 
 
-def exit_status(findings: DataFrame, fail_on: str | None = None) -> int:
-    level = fail_on if fail_on in ("warn", "error", "never") else "warn"
+def json_report(findings: DataFrame) -> str:
+    """All findings as one JSON list, in their order; for people, so it comes to the driver."""
+    return "[" + ",\n ".join(r["value"] for r in json_lines(findings).toLocalIterator()) + "]"
+
+
+def footer(findings: DataFrame, hidden: int = 0) -> list[str]:
+    """The last lines of a report: how many findings of each severity, and how many the baseline hides."""
+    n = {r["severity"]: r["n"] for r in counts(findings).collect()}
+    line = f"{sum(n.values())} finding(s): " + ", ".join(f"{n[s]} {s}" for s in sorted(n, key=RANK.get, reverse=True))
+    return [line, *([f"({hidden} more in the baseline)"] if hidden else [])]
+
+
+def verdict(findings: DataFrame, fail_on: str = "warn", shown: int = 30) -> tuple[int, list[str]]:
+    """2 and what an edit is told when a finding blocks it, else 0 and nothing. The first ``shown`` are printed, the rest counted."""
+    if fail_on == "never":
+        return 0, []
+    blocking = at_or_above(findings, fail_on if fail_on in RANK else "warn")
+    n = blocking.count()
+    lines = [r["value"] for r in report_lines(blocking).limit(shown).collect()] if n else []
+    return (2, [f"{n} finding(s) block this edit", *lines, *([f"... and {n - shown} more"] if n > shown else [])]) if n else (0, [])
+
+
+def exit_status(findings: DataFrame, fail_on: str | None = None, configured: str | None = None) -> int:
+    """1 if a finding reaches the level asked for, else the configured one, else warn."""
+    asked = fail_on or configured or "warn"
+    level = asked if asked in ("warn", "error", "never") else "warn"
     return 0 if level == "never" else int(bool(at_or_above(findings, level).limit(1).count()))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lineage import cut
 
 WINDOW = 6
 MIN_CHARS = 120
@@ -18,41 +19,57 @@ def lines(files: DataFrame) -> DataFrame:
     return rows.withColumn("norm", T.normalise_line(F.col("stripped")))
 
 
+def kept_lines(text: Column) -> Column:
+    """(line, norm) of the lines that count. Each step binds its result, so that no expression runs twice a line."""
+    stripped = F.transform(T.split_lines(text), T.strip)
+    flat = F.transform(stripped, lambda x, i: F.struct((i + 1).alias("line"), F.when(~T.is_skipped(x), F.regexp_replace(x, f"{T.BLANK}+", " ")).alias("norm")))
+    return F.filter(flat, lambda s: F.length(s["norm"]) >= 5)
+
+
 def normalised(files: DataFrame) -> DataFrame:
     """path, j (place among the kept lines, from 0), line, norm.
 
     The numbering is within the array of one file, so that it needs no shuffle: line numbers are
     attached before the filter and places after it.
     """
-    raw = T.split_lines(F.col("text"))
-    kept = F.filter(F.transform(raw, lambda x, i: F.struct((i + 1).alias("line"), T.normalise_line(T.strip(x)).alias("norm"))), lambda s: s["norm"].isNotNull())
-    return files.select("path", F.posexplode(kept).alias("j", "s")).select("path", "j", "s.line", "s.norm")
+    return files.select("path", F.posexplode(kept_lines(F.col("text"))).alias("j", "s")).select("path", "j", "s.line", "s.norm")
 
 
-def windows(files: DataFrame) -> DataFrame:
-    """path, j, win (hash of WINDOW lines), first line, last line of every window of MIN_CHARS characters or more.
+def window_rows(files: DataFrame) -> DataFrame:
+    """path, j, text, first, last of every window of MIN_CHARS characters or more.
 
-    Built within each file's array by slices; nothing is exchanged.
+    Built within each file's array, which is bound as a lambda's variable: a row never carries more
+    than its own window, and nothing is exchanged.
     """
-    raw = T.split_lines(F.col("text"))
-    kept = F.filter(F.transform(raw, lambda x, i: F.struct((i + 1).alias("line"), T.normalise_line(T.strip(x)).alias("norm"))), lambda s: s["norm"].isNotNull())
-    rows = files.select("path", kept.alias("seq")).where(F.size("seq") >= WINDOW)
-    rows = rows.select("path", "seq", F.explode(F.sequence(F.lit(0), F.size("seq") - WINDOW)).alias("j"))
-    part = F.slice("seq", F.col("j") + 1, WINDOW)
-    rows = rows.select("path", "j", F.transform(part, lambda s: s["norm"]).alias("w"), F.element_at(part, 1)["line"].alias("first"), F.element_at(part, WINDOW)["line"].alias("last"))
-    return rows.where(F.length(F.array_join("w", "")) >= MIN_CHARS).select("path", "j", F.sha2(F.array_join("w", "\n"), 256).alias("win"), "first", "last")
+
+    def of(s: Column) -> Column:
+        def window(j: Column) -> Column:
+            part = F.slice(s, j + 1, F.lit(WINDOW))
+            return F.struct(j.alias("j"), F.array_join(F.transform(part, lambda x: x["norm"]), "\n").alias("text"), s[j]["line"].alias("first"), s[j + (WINDOW - 1)]["line"].alias("last"))
+
+        return F.when(F.size(s) >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(s) - WINDOW)), window))
+
+    rows = files.select("path", F.explode(F.transform(F.array(kept_lines(F.col("text"))), of)).alias("ws"))
+    rows = rows.select("path", F.explode("ws").alias("w")).select("path", "w.*")
+    return rows.where(F.length("text") - (WINDOW - 1) >= MIN_CHARS)
+
+
+def windows(files: DataFrame) -> DataFrame:
+    """path, j, win (hash of WINDOW lines), first line, last line."""
+    return window_rows(files).select("path", "j", F.sha2("text", 256).alias("win"), "first", "last")
 
 
 def clone_pairs(files: DataFrame) -> DataFrame:
     """pa, ja, pb, jb (with their line numbers): the first place of a window against each other place.
 
-    Windows with 2 to 8 places count; overlapping places of one file do not. No join: one aggregation
-    on the window's hash, whose groups beyond 8 are dropped by count alone.
+    Windows with 2 to 8 places count; overlapping places of one file do not. The places are counted
+    first: only windows that pass are gathered, so no list grows beyond 8.
     """
-    rows = windows(files)
+    win = F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit("win"), "text").alias("y"))
+    rows = cut(window_rows(files).select(win.alias("win"), "path", "j", "first", "last"))
+    few = rows.groupBy("win").agg(F.count("*").alias("n")).where("n between 2 and 8").select("win")
     place = F.struct("path", "j", "first", "last")
-    # groups beyond 8 are boilerplate by definition; an array of the 9 least places tells them apart and stays small
-    groups = rows.groupBy("win").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(place)).alias("places")).where("n between 2 and 8")
+    groups = rows.join(few, "win").groupBy("win").agg(F.sort_array(F.collect_list(place)).alias("places"))
     pairs = groups.select(F.element_at("places", 1).alias("a"), F.explode(F.slice("places", F.lit(2), F.size("places"))).alias("b"))
     pairs = pairs.select(F.col("a.path").alias("pa"), F.col("a.j").alias("ja"), F.col("a.first").alias("a_first"), F.col("a.last").alias("a_last"), F.col("b.path").alias("pb"), F.col("b.j").alias("jb"), F.col("b.first").alias("b_first"), F.col("b.last").alias("b_last"))
     return pairs.where((F.col("pa") != F.col("pb")) | (F.abs(F.col("jb") - F.col("ja")) >= WINDOW)).distinct()

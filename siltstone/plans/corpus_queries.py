@@ -83,80 +83,134 @@ w AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
 g AS (SELECT id, w || chr(31) || lead(w, 1) OVER o || chr(31) || lead(w, 2) OVER o || chr(31) || lead(w, 3) OVER o || chr(31) || lead(w, 4) OVER o AS h FROM w WINDOW o AS (PARTITION BY id ORDER BY i)),
 d AS (SELECT DISTINCT id, h FROM g WHERE h IS NOT NULL),
 s AS MATERIALIZED (SELECT id, h FROM d QUALIFY count(*) OVER (PARTITION BY id) >= 40)"""
-_CANDIDATES = _SHINGLES + """,
-few AS (SELECT h FROM s GROUP BY h HAVING count(*) BETWEEN 2 AND 20),
-x AS (SELECT id, h FROM s SEMI JOIN few USING (h)),
+#: Classes of documents with one set of shingles, their reps' shingles, and all pairs of reps at 0.6 or more.
+_CLASSES = _SHINGLES + """,
+y AS (SELECT id, count(*) AS n, md5(string_agg(h, chr(30) ORDER BY h)) AS form FROM s GROUP BY id),
+y2 AS MATERIALIZED (SELECT id, n, min(id) OVER (PARTITION BY form) AS rep, count(*) OVER (PARTITION BY form) AS copies FROM y),
+o AS MATERIALIZED (SELECT s.id, h FROM s SEMI JOIN (SELECT id FROM y2 WHERE id = rep) r USING (id)),
+m AS MATERIALIZED (SELECT a.id AS a, b.id AS b, count(*) AS k FROM o a JOIN o b ON a.h = b.h AND a.id < b.id GROUP BY ALL),
+v AS MATERIALIZED (SELECT a, b, k / (ua.n + ub.n - k) AS jaccard FROM m JOIN y2 ua ON a = ua.id JOIN y2 ub ON b = ub.id WHERE k / (ua.n + ub.n - k) >= 0.6)"""
+_CANDIDATES = _CLASSES + """,
+few AS (SELECT h FROM o GROUP BY h HAVING count(*) BETWEEN 2 AND 20),
+x AS MATERIALIZED (SELECT id, h FROM o SEMI JOIN few USING (h)),
 z AS (SELECT id, count(*) AS n FROM x GROUP BY id),
 c AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM x a JOIN x b ON a.h = b.h AND a.id < b.id GROUP BY ALL),
-k AS (SELECT c.a, c.b, c.common FROM c JOIN z na ON c.a = na.id JOIN z nb ON c.b = nb.id WHERE c.common >= 0.45 * least(na.n, nb.n))"""
-_VERIFIED = _CANDIDATES + """,
-m AS (SELECT k.a, k.b, count(*) AS n FROM k JOIN s sa ON k.a = sa.id JOIN s sb ON k.b = sb.id AND sa.h = sb.h GROUP BY ALL),
-u AS (SELECT id, count(*) AS n FROM s GROUP BY id),
-v AS (SELECT m.a, m.b, m.n / (ua.n + ub.n - m.n) AS jaccard FROM m JOIN u ua ON m.a = ua.id JOIN u ub ON m.b = ub.id WHERE m.n / (ua.n + ub.n - m.n) >= 0.6)"""
+k AS (SELECT c.a, c.b, c.common FROM c JOIN z na ON c.a = na.id JOIN z nb ON c.b = nb.id WHERE c.common >= 0.45 * least(na.n, nb.n)
+      UNION SELECT v.a, v.b, coalesce(c.common, 0) FROM v LEFT JOIN c ON v.a = c.a AND v.b = c.b)"""
+_ROOTS = _CLASSES + """,
+e AS MATERIALIZED (SELECT a, b FROM v UNION SELECT b, a FROM v UNION SELECT id, rep FROM y2 WHERE id <> rep UNION SELECT rep, id FROM y2 WHERE id <> rep),
+reach(id, root) AS (SELECT a, a FROM e UNION SELECT e.b, reach.root FROM reach JOIN e ON reach.id = e.a),
+roots AS MATERIALIZED (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
 
 
 @query("shingle_index", f"WITH {_SHINGLES} SELECT id, count(*) AS n_shingles, count(*) FILTER (h IN (SELECT h FROM s GROUP BY h HAVING count(*) BETWEEN 2 AND 20)) AS n_indexed FROM s GROUP BY id")
 def shingle_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = N.word_shingles(doc_files(spark, sf_dir))
-    shared = N.postings(s).select("h", F.lit(1).alias("one"))
+    s = cut(N.word_shingles(doc_files(spark, sf_dir)))
+    shared = s.groupBy("h").agg(F.count("*").alias("df")).where("df between 2 and 20").select("h", F.lit(1).alias("one"))
     return s.join(shared, "h", "left").groupBy("id").agg(F.count("*").alias("n_shingles"), F.count("one").alias("n_indexed"))
 
 
-@query("neardup_candidates", f"WITH {_CANDIDATES} SELECT * FROM k")
-def neardup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.all_candidates(N.word_shingles(doc_files(spark, sf_dir)))
+def document_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return N.classes(cut(N.word_shingles(doc_files(spark, sf_dir))))
 
 
-def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs. The SQL sees only pairs with shingles of 2 to 20 documents, so on tables with larger groups it has fewer."""
-    return N.all_pairs(N.word_shingles(doc_files(spark, sf_dir)))
+@query("neardup_candidates", f"WITH {_CANDIDATES} SELECT a, b, common FROM k")
+def neardup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs of class representatives; neardup_classes says whom they stand for."""
+    return N.class_candidates(*document_classes(spark, sf_dir))
 
 
-@query("neardup_pairs", f"WITH {_VERIFIED} SELECT a, b, round(jaccard, 6) AS jaccard FROM v")
+@query("neardup_pairs", f"WITH {_CLASSES} SELECT a, b, round(jaccard, 6) AS jaccard FROM v")
 def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_pairs(spark, sf_dir).withColumn("jaccard", F.round("jaccard", 6))
+    """All pairs of class representatives at 0.6 or more; neardup_classes says whom they stand for."""
+    return N.class_pairs(*document_classes(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 6))
 
 
-_FAMILIES = "WITH RECURSIVE " + _VERIFIED + """,
-e AS MATERIALIZED (SELECT a, b FROM v UNION SELECT b, a FROM v),
-reach(id, root) AS (SELECT a, a FROM e UNION SELECT e.b, reach.root FROM reach JOIN e ON reach.id = e.a),
-roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
+@query("neardup_classes", f"WITH {_CLASSES}, l AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM v UNION ALL SELECT b FROM v) GROUP BY id) SELECT y2.id, rep, copies, coalesce(l.n, 0) AS n_links FROM y2 LEFT JOIN l ON l.id = rep")
+def neardup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class, the size of the class, and the number of other classes it is linked to."""
+    members, own = document_classes(spark, sf_dir)
+    pairs = N.class_pairs(members, own)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("found"))
+    return members.join(links, "rep", "left").select("id", "rep", "copies", F.coalesce("found", F.lit(0)).alias("n_links"))
+
+
+def weighted_pairs(members: DataFrame, own: DataFrame) -> DataFrame:
+    """a, b, jaccard, weight: pairs of reps with the number of document pairs they stand for, and each copy with its rep.
+
+    n copies are n * (n - 1) / 2 pairs of Jaccard 1: the n - 1 links to the rep weigh n / 2 each.
+    """
+    n = members.where("id = rep").select("id", "copies")
+    across = N.class_pairs(members, own).join(n.select(F.col("id").alias("a"), F.col("copies").alias("ca")), "a").join(n.select(F.col("id").alias("b"), F.col("copies").alias("cb")), "b")
+    within = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"), (F.col("copies") / 2).alias("weight"))
+    return across.select("a", "b", "jaccard", (F.col("ca") * F.col("cb")).cast("double").alias("weight")).unionByName(within)
 
 
-@query("neardup_families", _FAMILIES + " SELECT root, count(*) AS n_members FROM roots GROUP BY root HAVING count(*) >= 3")
+@query("neardup_families", f"""WITH RECURSIVE {_ROOTS},
+f AS (SELECT root, count(*) AS n_members, count(DISTINCT source) AS n_files, list(DISTINCT id::VARCHAR ORDER BY id::VARCHAR)[1:4] AS names FROM roots JOIN documents ON id = doc_id GROUP BY root HAVING count(*) >= 3 AND count(DISTINCT source) >= 3),
+wp AS (SELECT a, jaccard, (ua.copies * ub.copies)::DOUBLE AS weight FROM v JOIN y2 ua ON a = ua.id JOIN y2 ub ON b = ub.id UNION ALL SELECT rep, 1.0, copies::DOUBLE / 2 FROM y2 WHERE id <> rep),
+j AS (SELECT root, sum(jaccard * weight) / sum(weight) AS mean, min(jaccard) AS least FROM wp JOIN roots ON a = id GROUP BY root)
+SELECT root, n_members, n_files, array_to_string(names, ',') AS names, round(mean, 6) AS mean_jaccard, round(least, 6) AS least_jaccard FROM f JOIN j USING (root)""")
 def neardup_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = doc_files(spark, sf_dir).select(F.col("path").alias("id"), "path", F.col("path").cast("string").alias("name"))
-    return N.families(document_pairs(spark, sf_dir), members).select("root", "n_members")
+    """Components over 3 or more sources. Means are over all pairs of documents, copies included."""
+    members, own = document_classes(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("path"), F.col("doc_id").cast("string").alias("name"))
+    rows = N.families(weighted_pairs(members, own), docs)
+    return rows.select("root", "n_members", "n_files", F.array_join("names", ",").alias("names"), F.round("mean_jaccard", 6).alias("mean_jaccard"), F.round("least_jaccard", 6).alias("least_jaccard"))
+
+
+_MATCHED = """ds AS (SELECT y2.id, y2.rep, source FROM y2 JOIN documents ON y2.id = doc_id),
+g2 AS (SELECT rep, source, count(*) AS n FROM ds GROUP BY ALL),
+pr AS (SELECT x.source AS file_a, y.source AS file_b, x.rep AS id_a, y.rep AS id_b, x.n AS n_a, y.n AS n_b, jaccard FROM v JOIN g2 x ON v.a = x.rep JOIN g2 y ON v.b = y.rep WHERE x.source < y.source
+       UNION ALL SELECT x.source, y.source, x.rep, y.rep, x.n, y.n, jaccard FROM v JOIN g2 x ON v.b = x.rep JOIN g2 y ON v.a = y.rep WHERE x.source < y.source
+       UNION ALL SELECT x.source, y.source, x.rep, y.rep, x.n, y.n, 1.0 FROM g2 x JOIN g2 y ON x.rep = y.rep AND x.source < y.source)"""
+
 
+def source_pairs(spark: SparkSession, sf_dir: str, members: DataFrame, own: DataFrame) -> DataFrame:
+    """file_a < file_b, id_a, id_b, n_a, n_b, jaccard: classes that two sources share or that are alike, with their numbers of documents in each source."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    held = cut(members.join(docs, "id").groupBy("rep", "source").agg(F.count("*").alias("n")))
+    x, y = (held.select(F.col("rep").alias(f"id_{s}"), F.col("source").alias(f"file_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    near = N.class_pairs(members, own)
+    both = cut(near.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "jaccard").unionByName(near.select(F.col("b").alias("id_a"), F.col("a").alias("id_b"), "jaccard")))
+    same = held.select(F.col("rep").alias("id_a"), F.col("rep").alias("id_b"), F.lit(1.0).alias("jaccard")).distinct()
+    return both.unionByName(same).join(x, "id_a").join(y, "id_b").where("file_a < file_b")
 
-@query("fork_aggregate", f"WITH {_VERIFIED} SELECT da.source AS file_a, db.source AS file_b, count(*) AS n_pairs, round(avg(jaccard), 6) AS mean_jaccard FROM v JOIN documents da ON v.a = da.doc_id JOIN documents db ON v.b = db.doc_id WHERE da.source <> db.source GROUP BY ALL HAVING count(*) >= 2")
+
+@query("fork_aggregate", f"WITH {_CLASSES}, {_MATCHED} SELECT file_a, file_b, sum(n_a * n_b)::BIGINT AS n_pairs, round(sum(jaccard * n_a * n_b) / sum(n_a * n_b), 6) AS mean_jaccard FROM pr GROUP BY ALL HAVING sum(n_a * n_b) >= 2")
 def fork_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = document_pairs(spark, sf_dir).join(docs.select(F.col("doc_id").alias("a"), F.col("source").alias("file_a")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("source").alias("file_b")), "b")
-    return rows.where("file_a <> file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("n_pairs"), F.round(F.avg("jaccard"), 6).alias("mean_jaccard")).where("n_pairs >= 2")
+    """All pairs of documents between two sources, counted by class and never written out; matched_forks matches them one to one."""
+    rows = source_pairs(spark, sf_dir, *document_classes(spark, sf_dir))
+    n = F.col("n_a") * F.col("n_b")
+    return rows.groupBy("file_a", "file_b").agg(F.sum(n).alias("n_pairs"), F.round(F.sum(F.col("jaccard") * n) / F.sum(n), 6).alias("mean_jaccard")).where("n_pairs >= 2")
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows.select("file_a", "file_b", "id_a", "id_b", "jaccard", "n_a", "n_b", F.col("id_a").alias("line_a"), F.col("id_b").alias("line_b"), F.lit("").alias("name_a"), F.lit("").alias("name_b"))
 
 
 @query("matched_forks")
 def matched_forks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forks as the reference has them: families set aside, pairs matched one to one, FORK or more of them.
+    """Forks: families set aside, documents of two sources matched one to one, FORK or more of them.
 
-    fork_aggregate counts raw pairs, as its SQL does. Each pair of files comes once, the lesser name first.
+    Copies are matched by number, as they are interchangeable; ties of Jaccard go to the lesser
+    representative. Each pair of sources comes once, the lesser name first.
     """
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("path"))
-    pairs = N.outside_families(cut(document_pairs(spark, sf_dir)), docs)
-    rows = pairs.join(docs.select(F.col("id").alias("a"), F.col("path").alias("pa")), "a").join(docs.select(F.col("id").alias("b"), F.col("path").alias("pb")), "b")
-    ends = [F.when(F.col("pa") <= F.col("pb"), F.struct(F.col(x).alias("file"), F.col(y).alias("id"))).otherwise(F.struct(F.col(z).alias("file"), F.col(w).alias("id"))) for x, y, z, w in (("pa", "a", "pb", "b"), ("pb", "b", "pa", "a"))]
-    rows = rows.where("pa <> pb").select(ends[0].alias("l"), ends[1].alias("r"), "jaccard")
-    rows = rows.select(F.col("l.file").alias("file_a"), F.col("r.file").alias("file_b"), F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"), "jaccard", F.col("l.id").alias("line_a"), F.col("r.id").alias("line_b"), F.lit("").alias("name_a"), F.lit("").alias("name_b"))
-    return N.forks(N.one_to_one(rows)).withColumn("mean_jaccard", F.round("mean_jaccard", 6))
+    members, own = document_classes(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    links = N.class_pairs(members, own).select("a", "b").unionByName(N.class_links(members))
+    roots = cut(N.components(links))
+    large = roots.join(docs, "id").groupBy("root").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources")).where("n >= 3 and n_sources >= 3")
+    gone = cut(roots.join(large.select("root"), "root", "left_semi").select(F.col("id").alias("id_a")))
+    rows = source_pairs(spark, sf_dir, members, own).join(gone, "id_a", "left_anti")
+    return N.forks(N.one_to_one(_ordered(rows))).withColumn("mean_jaccard", F.round("mean_jaccard", 6))
 
 
 @query("greedy_matching")
 def greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = document_pairs(spark, sf_dir).join(docs.select(F.col("doc_id").alias("a"), F.col("source").alias("file_a")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("source").alias("file_b")), "b")
-    rows = rows.select("file_a", "file_b", F.col("a").alias("id_a"), F.col("b").alias("id_b"), "jaccard", F.col("a").alias("line_a"), F.col("b").alias("line_b"), F.lit("").alias("name_a"), F.lit("").alias("name_b"))
-    return N.one_to_one(rows).select("file_a", "file_b", "id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
+    """Classes of two sources matched one to one, with the number of documents that found each other."""
+    rows = source_pairs(spark, sf_dir, *document_classes(spark, sf_dir))
+    return N.one_to_one(_ordered(rows)).select("file_a", "file_b", "id_a", "id_b", F.round("jaccard", 6).alias("jaccard"), "matched")
 
 
 @query("same_name_neighbors", """WITH r AS (SELECT p_partkey AS id, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS rn, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
@@ -355,12 +409,13 @@ def schema_file_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_paths(spark, sf_dir).select("id", T.is_schema_path(F.col("path")).alias("is_schema"))
 
 
-@query("sibling_context", f"WITH {_PATHS}, t AS (SELECT * FROM p WHERE id % 50 = 0), d AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '\\.[^.]*$') AS ext FROM t) SELECT p.id, p.path FROM p JOIN d ON regexp_extract(p.path, '^(.*)/[^/]*$', 1) = d.dir AND regexp_extract(p.path, '\\.[^.]*$') = d.ext WHERE p.id % 50 <> 0")
+@query("sibling_context", f"WITH {_PATHS}, t AS (SELECT p.* FROM p JOIN part ON p.id = p_partkey WHERE p_retailprice >= 990), d AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '\\.[^.]*$') AS ext FROM t) SELECT p.id, p.path FROM p JOIN d ON regexp_extract(p.path, '^(.*)/[^/]*$', 1) = d.dir AND regexp_extract(p.path, '\\.[^.]*$') = d.ext WHERE p.id NOT IN (SELECT id FROM t)")
 def sibling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.files import siblings
 
     paths = part_paths(spark, sf_dir)
-    return siblings(paths, paths.where("id % 50 = 0")).select("id", "path")
+    dear = table(spark, sf_dir, "part").where("p_retailprice >= 990").select(F.col("p_partkey").alias("id"))
+    return siblings(paths, paths.join(dear, "id", "left_semi")).select("id", "path")
 
 
 # ------------------------------------------------------------------ comment text, from documents and conversations

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import corpus_queries
+from . import corpus_queries, planted
 
 
 def library_queries() -> dict:
-    return dict(corpus_queries.QUERIES)
+    return corpus_queries.QUERIES | planted.QUERIES
 
 
 def library_sql() -> dict[str, str]:
-    return dict(corpus_queries.SQL)
+    return corpus_queries.SQL | planted.SQL
