@@ -76,6 +76,8 @@ def near_pairs(functions: DataFrame, report: DataFrame | None = None) -> DataFra
 def near_findings(facts: DataFrame, report: DataFrame | None = None) -> DataFrame:
     """diverged-duplicate: families over 3 or more files, else forks of 5 or more pairs between two files, else single pairs."""
     rows = cut(near_pairs(cut(entries(facts)), report))
+    if rows.isEmpty():
+        return facts.sparkSession.createDataFrame([], "rule string, severity string, file string, line int, message string")
     roots = cut(N.components(rows.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))))
     member = rows.select(F.explode(F.array("a", "b")).alias("m")).select("m.*").distinct().join(roots, "id")
     own = member.withColumn("own", F.lit(False)) if report is None else member.join(report.select("path").distinct().withColumn("own", F.lit(True)), "path", "left").withColumn("own", F.coalesce("own", F.lit(False)))
