@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return it without lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary one is made. The files are shared, so a lost executor costs nothing.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
-    return df.checkpoint(eager=True)
+from ..operators.lineage import cut  # noqa: F401
 
 
 def narrow(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -48,7 +35,3 @@ def bounded_sample(labels: DataFrame, limit: int, seed: int, id_col: str = "doc_
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
-
-def chunks(items: list, size: int) -> Iterable[list]:
-    for i in range(0, len(items), size):
-        yield items[i : i + size]

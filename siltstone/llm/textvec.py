@@ -6,6 +6,8 @@ text come from a handful of array operations per slice; slices hold whole texts,
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,32 +145,48 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray, only_words: bool = True, fold
     return span_hash(sums, s, e), doc, s, e, sums
 
 
-PAD = b" \n "
+#: A word outside Latin: letters, digits and their marks; each sign of Chinese or Japanese writing is a word.
+_WIDE_WORD = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]|(?:[^\\W_\u0080-\u00bf\u203f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]|[\u0300-\u036f])+")
 
 
-def normalise(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case words with one space before and after each, texts parted by a new line.
+def wide_texts(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Numbers of the texts with signs beyond Latin-1 and general punctuation."""
+    at = np.flatnonzero(raw >= 0xC4)
+    if len(at):
+        after = raw[np.minimum(at + 1, len(raw) - 1)]
+        at = at[(raw[at] != 0xE2) | (after != 0x80)]
+    return np.unique(np.searchsorted(offs, at, "right") - 1)
+
+
+def folded_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number, start and end of each word, whatever its writing.
 
-    Returns the normalised bytes, the flags of the padded bytes that were kept, and the offsets of
-    the texts in the padded bytes (byte b of text k is padded byte ``padded[k] + b``).
+    Case is folded and composed and decomposed letters are one. Latin-1 text, nearly all of most
+    corpora, takes the way of ``word_hashes``; only the other texts are read sign by sign.
     """
-    n = len(offs) - 1
-    wide = np.full(len(raw) + 3 * n + 3, 32, np.uint8)
-    padded = offs + 3 * np.arange(1, n + 2)
-    wide[1] = 10
-    for k in range(n):
-        end = padded[k] + offs[k + 1] - offs[k]
-        wide[padded[k] : end] = raw[offs[k] : offs[k + 1]]
-        wide[end + 1] = 10
-    word = classes(wide) == WORD
-    keep = word.copy()
-    keep[1:] |= word[:-1]
-    marks = np.append(padded - 2, 1)
-    marks = marks[marks < len(wide)]
-    keep[marks] = keep[np.minimum(marks + 1, len(wide) - 1)] = True
-    text = np.where(word, lower(wide), 32).astype(np.uint8)
-    text[marks] = 10
-    return text[keep], keep, padded
+    h, doc, s, e, _ = word_hashes(raw, offs)
+    wide = wide_texts(raw, offs)
+    if not len(wide):
+        return h, doc, s, e
+    folded, owner, starts, ends = [], [], [], []
+    for k in wide.tolist():
+        text = raw[offs[k] : offs[k + 1]].tobytes().decode("utf-8", "replace")
+        at, last = int(offs[k]), 0
+        for m in _WIDE_WORD.finditer(text):
+            at += len(text[last : m.start()].encode())
+            size = len(m.group().encode())
+            folded.append(unicodedata.normalize("NFC", m.group()).lower().encode())
+            owner.append(k)
+            starts.append(at)
+            ends.append(at + size)
+            at, last = at + size, m.end()
+    keep = ~np.isin(doc, wide)
+    joined = np.frombuffer(b"".join(folded), np.uint8)
+    edge = np.concatenate([[0], np.cumsum([len(f) for f in folded])]).astype(np.int64)
+    more = span_hash(prefix(joined), edge[:-1], edge[1:]) if len(folded) else h[:0]
+    h, doc, s, e = (np.concatenate([old[keep], np.array(new, old.dtype)]) for old, new in ((h, more), (doc, owner), (s, starts), (e, ends)))
+    order = np.argsort(s, kind="stable")
+    return h[order], doc[order], s[order], e[order]
 
 
 def unit_hash(ids: np.ndarray, seed: int) -> np.ndarray:
