@@ -3,10 +3,14 @@
 1. A bounded sample of the vectors gets its exact neighbour graph.
 2. The graph is cut into balanced parts by recursive spectral bisection with a median split.
 3. A softmax classifier learns, from each sample vector, which parts its neighbours lie in.
-4. Every vector is stored in its likeliest part. Every vector is also a query: it goes to its most
-   probable parts until their probability adds up to ``mass``, which is set on the sample so that
-   the parts searched hold TARGET_RECALL of the neighbours, and is ranked exactly there.
+4. Every vector is stored in its likeliest part, and large parts in chunks. The queries - the
+   vectors whose id is divisible by ``every`` - go to their most probable parts until their
+   probability adds up to ``mass``, which is set on the sample so that the parts searched hold
+   TARGET_RECALL of the neighbours, and are ranked exactly there.
 5. The best of all parts searched make the answer.
+
+How much is searched is up to the data: vectors without any clusters (random directions) leave the
+router nothing to learn, and most parts have to be visited for the recall asked for.
 """
 
 from __future__ import annotations
@@ -21,13 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, narrow
 
-MAX_SAMPLE = 8192
-PART_ROWS = 2000
-MAX_PARTS = 256
+#: The sample has SAMPLE_A_PART vectors for each part, MAX_SAMPLE in all; the parts grow with the table, from LEAST_PARTS to MAX_PARTS.
+MAX_SAMPLE, SAMPLE_A_PART = 32_768, 256
+PART_ROWS, LEAST_PARTS, MAX_PARTS = 2000, 8, 1024
+EVERY = 100
 GRAPH_K = 10
 TARGET_RECALL = 0.95
-#: Queries searched at once; a part with more is searched in several groups, each with the part's vectors.
-GROUP_QUERIES = 50_000
+#: Vectors and queries in one task; a part with more is searched in several chunks and groups.
+CHUNK_ROWS, GROUP_QUERIES = 50_000, 50_000
 BLOCK = 1024
 SEED = 41
 
@@ -131,8 +136,9 @@ def fit(sample: np.ndarray, n_parts: int) -> Router:
 
 
 def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v: one row an id (of repeated ids the greatest vector), of the most frequent length, without nulls or NaN."""
-    rows = narrow(df, {"id": id_col, "v": vector_col}).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v")).where("id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x))")
+    """id, v: one row an id (of repeated ids the greatest vector), of the most frequent length, with finite numbers only."""
+    rows = narrow(df, {"id": id_col, "v": vector_col}).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"))
+    rows = rows.where("id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = float('infinity'))")
     rows = cut(rows.groupBy("id").agg(F.max("v").alias("v")))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return rows.where(F.size("v") == sizes[0]["n"]) if sizes else rows
@@ -144,35 +150,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1).astype(np.float32)
 
 
-def neighbours(df: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", max_sample: int = MAX_SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
-    """id, neighbours (ids, nearest first), distances (Euclidean) of every vector, itself left out.
+def parts_for(n: int, part_rows: int) -> int:
+    """A power of two: parts of about ``part_rows`` vectors, LEAST_PARTS or more unless there are fewer than two vectors for each."""
+    parts = 1
+    while parts < MAX_PARTS and 4 * parts <= n and (parts * part_rows < n or parts < LEAST_PARTS):
+        parts *= 2
+    return parts
+
+
+def neighbours(df: DataFrame, *, k: int = 10, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding", max_sample: int = MAX_SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
+    """id, neighbours (ids, nearest first), distances (Euclidean) of every vector whose id is divisible by ``every``, itself left out.
 
-    Rows with a null id, a null, empty or unequally long vector, or null or NaN components neither
-    search nor are found. Ties in distance go to the lesser id. With fewer than k others there are
-    fewer neighbours. An empty table gives no rows. ``max_sample`` bounds the rows the router is fitted on.
+    All vectors are searched. Ids are whole numbers. Rows with a null id, a null, empty or unequally
+    long vector, or components that are null, NaN or infinite neither search nor are found. Of rows
+    that repeat an id the greatest vector counts. Ties in distance go to the lesser id. With fewer
+    than k others there are fewer neighbours; a lone vector has an empty list. Extra columns are not read. An empty table gives no
+    rows. ``max_sample`` bounds the rows that graph, parts, router and ``mass`` are fitted on.
     """
     rows = vectors(df, id_col, vector_col)
     n = rows.count()
-    n_parts = 1
-    while n_parts * part_rows < n and n_parts < MAX_PARTS:
-        n_parts *= 2
-    sample = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(max_sample if n_parts > 1 else 1).toArrow()
+    n_parts = parts_for(n, part_rows)
+    sample = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(min(max_sample, SAMPLE_A_PART * n_parts) if n_parts > 1 else 1).toArrow()
     known = _matrix(sample.column("v")) if len(sample) else np.zeros((0, 0), np.float32)
     router = fit(known, n_parts)
-    searched = len(router.parts(known)[0]) / len(known) if n_parts > 1 else 1.0
-    groups = max(1, int(np.ceil(searched * n / n_parts / GROUP_QUERIES)))
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 2048):
+                part = batch.slice(i, 2048)
+                home = router.probabilities(_matrix(part.column("v"))).argmax(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(home), part.column("id"), part.column("v")], ["part", "id", "v"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 2048):
                 part = batch.slice(i, 2048)
-                x = _matrix(part.column("v"))
-                home = router.probabilities(x).argmax(axis=1)
-                query, to = router.parts(x)
-                at = np.concatenate([np.tile(np.arange(len(x)), groups), query])
-                chunk = np.concatenate([np.repeat(np.arange(groups), len(x)), query % groups])
-                flag = np.arange(len(at)) >= groups * len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.tile(home, groups), to])), pa.array(chunk), pa.array(flag), part.column("id").take(pa.array(at)), part.column("v").take(pa.array(at))], ["part", "chunk", "query", "id", "v"])
+                query, to = router.parts(_matrix(part.column("v")))
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), part.column("id").take(pa.array(query)), part.column("v").take(pa.array(query))], ["part", "id", "v"])
 
     def search(table: pa.Table) -> pa.Table:
         ids, v, query = np.asarray(table.column("id")), _matrix(table.column("v")), np.asarray(table.column("query")).astype(bool)
@@ -185,6 +199,17 @@ def neighbours(df: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col
         pairs = pa.StructArray.from_arrays([pa.array(np.round(np.sqrt(dist[keep]), 6)), pa.array(found[keep])], ["d", "id"])
         return pa.table({"id": pa.array(ids[query]), "near": pa.ListArray.from_arrays(pa.array(offs), pairs)})
 
-    found = rows.mapInArrow(route, "part long, chunk long, query boolean, id long, v array<float>").groupBy("part", "chunk").applyInArrow(search, "id long, near array<struct<d: double, id: long>>")
+    kind = "part int, id long, v array<float>"
+    stored = cut(rows.mapInArrow(store, kind))
+    asked = cut(rows.where(F.col("id") % every == 0).mapInArrow(route, kind))
+    # one number a part comes to the driver: its vectors and its queries
+    sizes = {r["part"]: r for r in stored.withColumn("q", F.lit(0)).unionByName(asked.withColumn("q", F.lit(1))).groupBy("part").agg(F.count_if(F.col("q") == 0).alias("rows"), F.count_if(F.col("q") == 1).alias("queries")).collect()}
+    pieces = lambda name, most: F.element_at(F.array(*[F.lit(max(1, -(-sizes[p][name] // most)) if p in sizes else 1) for p in range(n_parts)]), F.col("part") + 1)
+    chunks, groups = pieces("rows", CHUNK_ROWS), pieces("queries", GROUP_QUERIES)
+    mine = lambda many: F.pmod(F.xxhash64("id"), many).cast("int")
+    upto = lambda many: F.explode(F.sequence(F.lit(0), many - 1))
+    both = stored.select("part", mine(chunks).alias("chunk"), upto(groups).alias("grp"), F.lit(False).alias("query"), "id", "v")
+    both = both.unionByName(asked.select("part", upto(chunks).alias("chunk"), mine(groups).alias("grp"), F.lit(True).alias("query"), "id", "v"))
+    found = both.groupBy("part", "chunk", "grp").applyInArrow(search, "id long, near array<struct<d: double, id: long>>")
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return best.select(F.col("id").alias(id_col), F.col("near.id").alias("neighbours"), F.col("near.d").alias("distances"))

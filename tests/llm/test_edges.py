@@ -130,7 +130,7 @@ def test_toxicity(given):
 def test_ann(spark):
     schema = "vec_id long, embedding array<float>, label int, id string, v int, part int"
     data = [(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [1.0]), (None, [0.0, 0.0]), (7, [float("nan"), 0.0]), (8, [None, 1.0])]
-    got = rows(ann.neighbours(spark.createDataFrame([(*r, 0, "", 1, 2) for r in data], schema), k=3))
+    got = rows(ann.neighbours(spark.createDataFrame([(*r, 0, "", 1, 2) for r in data], schema), k=3, every=1))
     assert sorted(got) == [(1, [2, 3], [1.0, 1.0]), (2, [3, 1], [0.0, 1.0]), (3, [2, 1], [0.0, 1.0])]
     assert rows(ann.neighbours(spark.createDataFrame([], schema))) == []
 

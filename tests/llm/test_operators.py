@@ -256,12 +256,36 @@ def test_neighbours_recall(spark):
     centres = rng.standard_normal((40, 24)) * 3
     x = (centres[rng.randint(0, 40, 1500)] + rng.standard_normal((1500, 24))).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {r["vec_id"]: r["neighbours"] for r in ann.neighbours(df, part_rows=100).collect()}
+    got = {r["vec_id"]: r["neighbours"] for r in ann.neighbours(df, part_rows=100, every=1).collect()}
     best, _ = ann.nearest(x, x, 10, np.arange(len(x)))
     assert len(got) == len(x)
     assert np.mean([len(set(got[i]) & set(best[i].tolist())) / 10 for i in range(len(x))]) >= 0.9
 
 
+def test_clustered_vectors_need_few_parts():
+    rng = np.random.RandomState(4)
+    centres = rng.standard_normal((64, 24)) * 3
+    x = (centres[rng.randint(0, 64, 6000)] + rng.standard_normal((6000, 24))).astype(np.float32)
+    router = ann.fit(x[:4000], 32)
+    assert len(router.parts(x[4000:])[0]) / 2000 <= 32 * 0.25
+
+
+def test_queries_chunks_and_infinities(spark, monkeypatch):
+    """Every hundredth vector asks; parts are cut in chunks; what is not finite is not there."""
+    rng = np.random.RandomState(6)
+    x = rng.standard_normal((1200, 12)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, [float("inf")] * 12), (5100, [float("nan")] * 12), (5200, [-float("inf")] + [0.0] * 11)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want, _ = ann.nearest(x[::100], x, 10, np.arange(0, 1200, 100))
+    for chunk, group in ((50_000, 50_000), (40, 3)):
+        monkeypatch.setattr(ann, "CHUNK_ROWS", chunk)
+        monkeypatch.setattr(ann, "GROUP_QUERIES", group)
+        got = {r["vec_id"]: r["neighbours"] for r in ann.neighbours(df).collect()}
+        assert set(got) == set(range(0, 1200, 100))
+        assert np.mean([len(set(got[i * 100]) & set(want[i].tolist())) / 10 for i in range(12)]) >= 0.9
+    assert [ann.parts_for(n, 2000) for n in (0, 1, 20, 500, 51_282, 10**9)] == [1, 1, 8, 8, 32, 1024]
+
+
 def test_parts_are_balanced():
     x = np.random.RandomState(2).standard_normal((999, 8)).astype(np.float32)
     graph, _ = ann.nearest(x, x, 10, np.arange(len(x)))
