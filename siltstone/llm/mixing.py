@@ -6,10 +6,14 @@ sum over documents of r * tokens * posterior, from the targets. Projected gradie
 rate 1, in the metric weighted by tokens; each step is one aggregation over the cluster that returns
 one number a domain. A document's rate follows from its posterior and the few step vectors, so no
 rate column is ever kept or shuffled. Rate r gives floor(r) copies and one more by chance.
+
+The step is 1 in the metric of the totals at rate 1: a document's posteriors add up to 1, so no
+direction is steeper. The steps end when the targets are met or cannot be approached any further.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +27,9 @@ from .common import bounded_sample, cut, narrow
 
 DIM = 2048
 MAX_LABELLED = 3000
-MAX_DOMAINS = 64
 SEED = 23
-STEPS = 40
-TOLERANCE = 1e-4
+#: Greatest deviation from a target, as a share of all tokens; and what ten steps must take off it to go on.
+TOLERANCE, PROGRESS = 1e-4, 0.01
 
 
 def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +113,6 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
         return Model(("",), np.zeros((DIM + 1, 1), np.float32), np.zeros((0, 1)))
     names = np.array(table.column("domain").to_pylist())
     domains, y = np.unique(names, return_inverse=True)
-    if len(domains) > MAX_DOMAINS:
-        raise ValueError(f"{len(domains)} domains; {MAX_DOMAINS} at most")
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32)
     return Model(tuple(map(str, domains)), train(x, y, len(domains)), np.zeros((0, len(domains))))
 
@@ -131,25 +132,21 @@ def _lists(p: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, max(1, p.shape[1]), dtype=np.int32)), pa.array(p.ravel()))
 
 
-def totals(table: DataFrame, steps: np.ndarray, n_domains: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of each domain under the rates after ``steps``, and the Gram matrix sum n p p'."""
+def totals(table: DataFrame, steps: np.ndarray, n_domains: int) -> np.ndarray:
+    """Expected tokens of each domain under the rates after ``steps``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, gram = np.zeros(n_domains), np.zeros((n_domains, n_domains))
+        t = np.zeros(n_domains)
         for batch in batches:
             p = np.asarray(batch.column("p").flatten()).reshape(-1, n_domains)
-            n = np.asarray(batch.column("n_tokens")).astype(np.float64)
-            t += p.T @ (n * replay(p, steps))
-            gram += p.T @ (n[:, None] * p)
-        yield pa.RecordBatch.from_arrays([pa.array([t.tolist()]), pa.array([gram.ravel().tolist()])], ["t", "gram"])
-
-    rows = table.select("n_tokens", "p").mapInArrow(run, "t array<double>, gram array<double>")
-    # element by element, so that what reaches the driver does not grow with the number of partitions
-    summed = rows.select(F.posexplode(F.concat("t", "gram")).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(n_domains * (n_domains + 1))
-    for r in summed:
+            t += p.T @ (np.asarray(batch.column("n_tokens")).astype(np.float64) * replay(p, steps))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_domains, dtype=np.int32)), pa.array(t)], ["k", "v"])
+
+    # summed by domain on the cluster, so that what reaches the driver does not grow with the number of partitions
+    out = np.zeros(n_domains)
+    for r in table.select("n_tokens", "p").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         out[r["k"]] = r["v"]
-    return out[:n_domains], out[n_domains:].reshape(n_domains, n_domains)
+    return out
 
 
 def tempered(t: np.ndarray, power: float = 0.7) -> np.ndarray:
@@ -158,25 +155,40 @@ def tempered(t: np.ndarray, power: float = 0.7) -> np.ndarray:
     return share / max(share.sum(), 1e-300) * t.sum()
 
 
+def targets(domains: tuple[str, ...], weights: dict[str, float] | None, t: np.ndarray) -> np.ndarray:
+    """Tokens each domain shall have: the weights' shares of all tokens. A weight for a domain that the model does not know is an error."""
+    if weights is None:
+        return tempered(t)
+    unknown = sorted(d for d, w in weights.items() if w and d not in domains)
+    if unknown:
+        raise ValueError(f"no labelled document is of the domains {unknown}; known are {list(domains)}")
+    if min(weights.values(), default=0) < 0 or not sum(weights.values()) > 0:
+        raise ValueError("weights must be 0 or more, and not all 0")
+    return np.array([weights.get(d, 0.0) for d in domains]) / sum(weights.values()) * t.sum()
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", max_labelled: int = MAX_LABELLED) -> tuple[Model, DataFrame]:
     """The model with its steps, and the table (id, n_tokens, p). ``weights`` are target shares of the tokens.
 
-    Without them the shares of the classified corpus are flattened by the power 0.7. The steps end when
-    every domain is within TOLERANCE of its target, or after STEPS. An empty table takes no step.
+    A known domain without a weight gets none. Without ``weights`` the shares of the classified corpus
+    are flattened by the power 0.7. Where targets cannot be met (no document leans to a domain enough)
+    the nearest totals are taken and a warning tells how far off they are. An empty table takes no step.
     """
     model = fit_classifier(docs, labels, id_col=id_col, text_col=text_col, domain_col=domain_col, max_labelled=max_labelled)
     table = cut(members(docs, model, id_col=id_col, text_col=text_col))
     k = len(model.domains)
-    t, gram = totals(table, np.zeros((0, k)), k)
-    target = tempered(t) if weights is None else np.array([weights.get(d, 0.0) for d in model.domains]) / max(sum(weights.values()), 1e-300) * t.sum()
-    own = np.maximum(np.diag(gram), 1e-9)
-    scaled = gram / np.sqrt(own[:, None] * own[None, :])
-    top = max(np.linalg.eigvalsh(scaled).max(), 1e-9) if t.sum() else 1.0
-    steps = np.zeros((0, k))
-    while t.sum() and len(steps) < STEPS and np.abs(t - target).max() > TOLERANCE * target.sum():
-        steps = np.vstack([steps, (t - target) / own / top])
-        t, _ = totals(table, steps, k)
-    return Model(model.domains, model.weights, np.round(steps, 12)), table
+    t = own = totals(table, np.zeros((0, k)), k)
+    if not t.sum():
+        return model, table
+    target = targets(model.domains, weights, t)
+    steps, off = np.zeros((0, k)), [float(np.abs(t - target).max() / target.sum())]
+    while off[-1] > TOLERANCE and (len(off) <= 10 or off[-1] < (1 - PROGRESS) * off[-11]):
+        steps = np.vstack([steps, np.round((t - target) / np.maximum(own, 1e-9), 12)])
+        t = totals(table, steps, k)
+        off.append(float(np.abs(t - target).max() / target.sum()))
+    if off[-1] > TOLERANCE:
+        warnings.warn(f"the totals are off their targets by up to {off[-1]:.2%} of all tokens after {len(steps)} steps", stacklevel=2)
+    return Model(model.domains, model.weights, steps), table
 
 
 def copies(ids: np.ndarray, rate: np.ndarray) -> np.ndarray:
@@ -188,8 +200,10 @@ def copies(ids: np.ndarray, rate: np.ndarray) -> np.ndarray:
 def rates(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """id, n_tokens, domain (the likeliest), posterior, rate, copies of every row.
 
-    Texts that are null or empty have no tokens and the posterior of the training shares; rows that
-    repeat get the same rate and copies each; a null id draws as id 0.
+    Ids are whole numbers. Texts that are null or empty have no tokens and the posterior of the training shares; texts of any
+    length are classified whole; rows that repeat get the same rate and copies each; a null id draws as
+    id 0. Of equal posteriors the lesser domain is the likeliest. Extra columns are not read. An empty
+    table gives no rows, and so nothing to fit.
     """
     model, table = fit(docs, labels, weights=weights, id_col=id_col, text_col=text_col, domain_col=domain_col, max_labelled=max_labelled)
     names = np.array(model.domains)
@@ -207,7 +221,8 @@ def rates(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float] | Non
 def mix(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``docs`` with each row as often as its copies say, all columns kept; texts are classified again, not shuffled.
 
-    Nulls, repeated rows and empty tables as in ``rates``.
+    Nulls, ties, repeated rows, long texts and empty tables as in ``rates``; columns of any name stay.
+    Copies keep their id, so ids repeat from here on.
     """
     model, _ = fit(docs, labels, weights=weights, id_col=id_col, text_col=text_col, domain_col=domain_col, max_labelled=max_labelled)
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)

@@ -13,12 +13,16 @@ from .common import read
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A deployment passes its own secret to pii.pseudonymise.
 KEY = b"key of the registered query"
+#: Small shards, for quick reads of a part; the pipeline writes greater ones.
+SHARD_CHARS = 500_000
+#: Shares of the tokens by language, the domain of the registered query.
+WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), weights=WEIGHTS)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +58,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(read(spark, sf_dir, "documents"))
+    return sharding.shards(read(spark, sf_dir, "documents"), target=SHARD_CHARS)
 
 
 def queries() -> dict[str, Query]:
@@ -62,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_sharding": sharding.oracle_sql()}
+    return {"op10_sharding": sharding.oracle_sql(SHARD_CHARS)}
