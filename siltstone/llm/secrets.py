@@ -27,12 +27,17 @@ PATTERNS = {
     "chat_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
     "payment_key": r"\b[sr]k_live_[0-9A-Za-z]{16,}\b",
     "signed_token": r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
+    "maps_key": r"\bAIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])",
+    "forge_token": r"\bglpat-[0-9A-Za-z_-]{20,}",
+    "hook_url": r"\bhttps://hooks\.[a-z.]+/services/[0-9A-Za-z]+/[0-9A-Za-z]+/[0-9A-Za-z]{12,}",
+    # a password within an address: scheme://name:password@host
+    "url_password": r"\b[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"']*:(?P<within>[^\s:/@\"'<{$]{6,})@[A-Za-z0-9.-]+",
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
     # any prefix may stand before the keyword: DB_PASSWORD, client_secret, dbPassword
     "assigned": r"(?i:api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|auth[_-]?token|secret|token|passwd|password)[\"']?(?:\s*(?::=|=>|[:=])\s*(?:\"(?P<double>[^\s\"]{12,})\"|'(?P<single>[^\s']{12,})')|[ \t]*(?::=|=>|[:=])[ \t]*(?P<free>[^\s\"'`]{12,}))",
 }
 ONE = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
-OWN_FORM = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items() if kind not in ("assigned", "private_key")))
+OWN_FORM = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items() if kind not in ("assigned", "private_key", "url_password")))
 LEAST = 12
 #: Unquoted, these are names, calls and references of code, or addresses, unless the line is an assignment of a shell or .env file.
 CODE = re.compile(r"[A-Za-z_][A-Za-z_.-]*|[A-Za-z_][\w.]*[(\[].*|\d+(?:\.\d+)*", re.DOTALL)
@@ -40,7 +45,7 @@ REFERENCE = re.compile(r"\$[A-Z_][A-Z0-9_]*|\$[{(].*|\{\{.*|\{%.*|<.*|\[.*|[A-Za
 ENV_LINE = re.compile(r"\s*(?:export\s+|set\s+)?[\w.-]*", re.IGNORECASE)
 QUERY_PART = re.compile(r"[?&][\w.-]*$")
 #: What any candidate contains; one linear scan of a whole column discards the texts without it.
-HINT = r"(?i)akia|asia|gh[pousr]_|xox[abprs]-|_live_|eyj|-----begin|key[\"']?\s*[:=]|token[\"']?\s*[:=]|secret[\"']?\s*[:=]|passw(?:or)?d[\"']?\s*[:=]"
+HINT = r"(?i)://[^\s:/@]*:[^\s/@]+@|hooks\.|aiza|glpat-|akia|asia|gh[pousr]_|xox[abprs]-|_live_|eyj|-----begin|key[\"']?\s*[:=]|token[\"']?\s*[:=]|secret[\"']?\s*[:=]|passw(?:or)?d[\"']?\s*[:=]"
 WIDELY = 3
 MIN_ENTROPY = 2.5
 PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|(.)\1{7}|0123456789|1234567890|abcdef(?:gh)?ij")
@@ -72,8 +77,8 @@ def scan(text: str) -> list[tuple[str, int, int, str]]:
     at = 0
     while m := ONE.search(text, at):
         at = m.end()
-        kind = m.lastgroup if m.lastgroup in PATTERNS else "assigned"
-        a, b = m.span(m.re.groupindex[kind])
+        kind = next(k for k in PATTERNS if m[k] is not None)
+        a, b = m.span("within" if kind == "url_password" else kind)
         if kind == "assigned":
             where = next(g for g in ("double", "single", "free") if m.group(g) is not None)
             a, b = m.span(where)
@@ -129,8 +134,11 @@ def ownership(found: DataFrame, *, widely: int = WIDELY) -> DataFrame:
 def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), widely: int = WIDELY) -> DataFrame:
     """id, start, end, kind, secret, n_docs, n_repos, n_owners, verdict of each occurrence.
 
-    Null and empty texts have none. A null owner is the owner "", a null id one document. Repeated
-    rows give their occurrences each but count once in n_docs.
+    Where the corpus has no column for them, the source stands for the owner, and source and language
+    for the repository. Ids are whole numbers. Null and empty texts have none, texts of any length are
+    scanned whole. A null owner is the owner "", a null id one document. Repeated rows give their
+    occurrences each but count once in n_docs. A secret of several kinds is of the kind that sorts
+    first. Extra columns are not read. An empty table gives no rows.
     """
     found = cut(candidates(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_cols=repo_cols))
     known = ownership(found, widely=widely).drop("kind")
