@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms by a keyed Feistel permutation.
 
-Values that pass their own validation - card numbers (Luhn), bank accounts (mod 97), IPv4 addresses,
-phone numbers, social security numbers, calendar dates, e-mail addresses - are replaced by another
+Values that pass their own validation - card numbers (Luhn), bank accounts (mod 97), IPv4 and IPv6
+addresses, phone numbers, social security numbers, calendar dates, e-mail addresses - are replaced by another
 value of the same format. A value is ranked within its format, the rank is permuted by a balanced
 Feistel network under a key (walking the cycle until it falls in range), and unranked. The map is a
 bijection of each format, so equal values stay equal in all documents, different ones different, and
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -25,7 +26,6 @@ from . import textvec as tv
 from .common import narrow
 
 ROUNDS = 8
-DEFAULT_KEY = b"change this key"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -155,6 +155,27 @@ def day(year: int, month: int, of_month: int, key: bytes, back: bool) -> datetim
     return datetime.date.fromordinal(FIRST_DAY + permute(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", back))
 
 
+MONTHS = "January February March April May June July August September October November December".split()
+
+
+def long_date(value: str, key: bytes, back: bool) -> str | None:
+    """March 5, 2020."""
+    month, of_month, year = re.match(r"(\w+) (\d+), (\d+)", value).groups()
+    new = day(int(year), MONTHS.index(month) + 1, int(of_month), key, back)
+    return new and f"{MONTHS[new.month - 1]} {new.day}, {new.year:04d}"
+
+
+def ipv6(value: str, key: bytes, back: bool) -> str | None:
+    """Addresses in their short form, in small letters, as most programs write them."""
+    try:
+        old = ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    if str(old) != value:
+        return None
+    return str(ipaddress.IPv6Address(permute(int(old), 1 << 128, key, "ipv6", back)))
+
+
 def iso_date(value: str, key: bytes, back: bool) -> str | None:
     new = day(int(value[:4]), int(value[5:7]), int(value[8:]), key, back)
     return new and f"{new.year:04d}{value[4]}{new.month:02d}{value[7]}{new.day:02d}"
@@ -203,9 +224,11 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
     "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", email),
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", ipv4),
-    "iso_date": (r"(?<![\w/.-])\d{4}(?:-\d{2}-|/\d{2}/)\d{2}(?![\w/-])", iso_date),
+    "iso_date": (r"(?<![\w/.-])\d{4}(?:-\d{2}-|/\d{2}/)\d{2}(?=T\d{2}:|(?![\w/-]))", iso_date),
     "day_first": (r"(?<![\w/.-])\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}(?![\w/-])", day_first),
     "month_first": (r"(?<![\w/.-])\d{2}/\d{2}/\d{4}(?![\w/-])", month_first),
+    "long_date": (rf"\b(?:{'|'.join(MONTHS)}) (?:[1-9]|[12]\d|3[01]), \d{{4}}(?!\w)", long_date),
+    "ipv6": (r"(?<![\w:.])(?:[0-9a-f]{1,4}(?=:)|(?=::))(?::{1,2}[0-9a-f]{1,4}){0,7}(?:::)?(?![\w:.])", ipv6),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)", phone),
     "phone_abroad": (r"(?<![\w+])\+[1-9]\d{0,14}(?:[ .-]\d{1,12}| ?\(\d{1,5}\)(?: ?\d{1,12})?)*(?!\w)", phone_abroad),
@@ -292,23 +315,29 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, int]:
 
 
 def worth_a_look(column: pa.Array) -> np.ndarray:
-    """Texts with a sign @ or four digits close together (eight bytes); all others have no value of any kind."""
+    """Texts with a sign @, two colons or four digits close together (eight bytes); all others have no value of any kind."""
     out = np.zeros(len(column), bool)
     for i, j, raw, offs in tv.slices(column):
         digit = ((raw >= 48) & (raw <= 57)).astype(np.int8)
         near = digit.copy()
         for k in range(1, 8):
             near[k:] += digit[:-k]
-        at = np.flatnonzero((near >= 4) | (raw == 64))
+        colons = np.zeros(len(raw), bool)
+        colons[1:] = (raw[1:] == 58) & (raw[:-1] == 58)
+        at = np.flatnonzero((near >= 4) | (raw == 64) | colons)
         out[i + np.unique(np.searchsorted(offs, at, "right") - 1)] = True
     return out
 
 
-def pseudonymise(docs: DataFrame, *, key: bytes = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: bytes, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
     """id, text with pseudonyms, n_replaced of every row.
 
-    Values that fail their validation stay. A null text stays null, with 0 replaced; null ids and
-    repeated rows are treated like any other. ``back`` undoes it with the same key.
+    ``key`` is the secret of whoever runs this; there is no default. Values that fail their validation
+    stay, and so do dates outside 1900 to 2099 and ten digits in one run. Ids are whole numbers. A null
+    text stays null, with 0 replaced, an empty one stays empty, texts of any length are read whole; null
+    ids and repeated rows are treated like any other. Where several kinds could begin at one place, the
+    first of KINDS is taken. Extra columns are not read. An empty table gives no rows. ``back`` undoes it
+    with the same key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
