@@ -29,11 +29,17 @@ SEED = 31
 STEMS = (4, 5, 6, 7, 8)
 MIN_DOCS = 4
 MIN_ODDS = 2.0
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OBJECT = range(8)
+#: English, German, French, Spanish. OBJECT holds the pronouns that may stand before the verb they are the object of.
 BUILT_IN = {
-    INSULT: "idiot idiots moron morons stupid scum trash loser losers worthless pathetic disgusting clown imbecile vermin filth",
-    THREAT: "kill hurt destroy beat strangle stab murder",
-    TARGET: "you your youre yours u he she they them him her these those ihr euch dich du sie vous toi tu ils elles usted ustedes tú ellos",
+    INSULT: """idiot idiots idiotic moron morons moronic stupid scum trash loser losers worthless pathetic disgusting clown imbecile vermin filth
+        dumm dumme dummkopf trottel vollidiot depp abschaum versager arschloch widerlich wertlos
+        imbécile imbéciles connard connards abruti abrutis minable ordure raté stupide débile
+        imbécil imbéciles estúpido estúpida estúpidos basura escoria inútil asqueroso asquerosa patético tonto tonta""",
+    THREAT: """kill hurt destroy beat strangle stab murder töten umbringen verprügeln erwürgen erstechen vernichten tuer frapper étrangler
+        poignarder égorger détruire matar golpear estrangular apuñalar destruir""",
+    TARGET: "you your youre yours u he she they them him her these those ihr du sie vous toi tu ils elles usted ustedes tú ellos",
+    OBJECT: "dich euch te",
     NEGATION: "not no never isnt arent wasnt dont doesnt without nicht kein keine nie pas jamais aucun nunca jamás sin",
     REPORT: "said says say called calls wrote writes quoted quotes claimed claims reported reports sagte schrieb dit écrit dijo escribió",
 }
@@ -54,10 +60,12 @@ class Machine:
 
 #: The state says how far back the last negation or target is (0: none near), or whether speech is being reported.
 NEGATED = Machine("negation", {(0, NEGATION): 1, (1, -1): 2, (2, -1): 3, (3, -1): 0, (1, NEGATION): 0, (2, NEGATION): 1, (3, NEGATION): 1}, (1.0, 0.25, 0.25, 0.25))
-TARGETED = Machine("target", {(0, TARGET): 1, (1, TARGET): 1, (2, TARGET): 1, (3, TARGET): 1, (1, -1): 2, (2, -1): 3, (3, -1): 0}, (1.0, 1.5, 1.5, 1.5))
+TARGETED = Machine("target", {(k, c): 1 for k in range(4) for c in (TARGET, OBJECT)} | {(1, -1): 2, (2, -1): 3, (3, -1): 0}, (1.0, 1.5, 1.5, 1.5))
 REPORTED = Machine("reported speech", {(0, REPORT): 1, (1, QUOTE): 2, (2, QUOTE): 0}, (1.0, 0.6, 0.3))
-INSULTED = Machine("insult", {(0, INSULT): 1, (1, INSULT): 1}, (1.0, 1.0))
-THREATENED = Machine("threat", {(0, THREAT): 1, (1, TARGET): 2}, (0.0, 0.0, 1.0))
+#: A second insult in a clause weighs more than the first.
+INSULTED = Machine("insult", {(0, INSULT): 1, (1, INSULT): 1}, (1.0, 1.25))
+#: A threat and whom it is meant for, in either order: "kill you", "dich töten".
+THREATENED = Machine("threat", {(0, THREAT): 1, (1, TARGET): 2, (1, OBJECT): 2, (0, OBJECT): 3, (3, THREAT): 2}, (0.0, 0.0, 1.0, 0.0))
 
 
 @dataclass(frozen=True)
@@ -73,13 +81,13 @@ class Grammar:
         number = {s: k for k, s in enumerate(product(*map(range, shape)))}
         for state in number:
             row, gain = [], []
-            for symbol in range(7):
+            for symbol in range(8):
                 after = tuple(m.next(s, symbol) for m, s in zip(self.machines, state, strict=True))
                 row.append(number[after])
                 context = self.machines[0].factor[state[0]] * self.machines[1].factor[state[1]] * self.machines[2].factor[state[2]]
                 threat = self.machines[4]
                 done = threat.factor[after[4]] > threat.factor[state[4]]  # "kill ... you": weighs as one strong insult, in its context
-                gain.append(context if symbol == INSULT else 2 * INSULT_WEIGHT * context / 1.5 ** (state[1] > 0) if done else 0.0)
+                gain.append(context * self.machines[3].factor[state[3]] if symbol == INSULT else 2 * INSULT_WEIGHT * context / self.machines[1].factor[state[1]] if done else 0.0)
             self.table.append(row)
             self.weight.append(gain)
 
@@ -141,6 +149,17 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
+def quotation(raw: np.ndarray) -> np.ndarray:
+    """The bytes that open or close a quotation: straight, curly, low and angular marks."""
+    out = raw == 34
+    if len(raw) > 2:
+        angular = (raw[:-1] == 0xC2) & ((raw[1:] == 0xAB) | (raw[1:] == 0xBB))
+        curly = (raw[:-2] == 0xE2) & (raw[1:-1] == 0x80) & (raw[2:] >= 0x9C) & (raw[2:] <= 0x9E)
+        out[:-1] |= angular
+        out[:-2] |= curly
+    return out
+
+
 def score_texts(lex: Lexicon, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Score and number of matched clauses of each text."""
     score, clauses = np.zeros(len(column)), np.zeros(len(column), np.int64)
@@ -163,13 +182,14 @@ def score_texts(lex: Lexicon, column: pa.Array) -> tuple[np.ndarray, np.ndarray]
             continue
         # clause number of each word: ends of clauses that lie between it and the word before
         stop = np.isin(raw, np.frombuffer(b".!?;:\n", np.uint8))
-        # a sign that is glued to the next word ends nothing ("e.g. 3.5")
+        # a sign between two words without a space ends nothing ("3.5", "and/or:")
+        stop[:-1] &= (raw[:-1] == 10) | (tv.BYTE_CLASS[raw[1:]] != tv.WORD)
         number = np.cumsum(stop)
         new = np.ones(len(s), bool)
         new[1:] = (number[s[1:]] > number[e[:-1] - 1]) | (doc[1:] != doc[:-1])
         clause = np.cumsum(new) - 1
         first = np.append(np.flatnonzero(new), len(s))
-        quotes = np.cumsum(raw == 34)
+        quotes = np.cumsum(quotation(raw))
         for c in np.unique(clause[toxic]).tolist():
             a, b = first[c], first[c + 1]
             symbols, weights = [], []
@@ -243,8 +263,9 @@ def scores(docs: DataFrame, lex: Lexicon, *, id_col: str = "doc_id", text_col: s
 def toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The toxic rows: id, score, n_clauses.
 
-    Null and empty texts score 0 and are never toxic; repeated rows are each judged alike; a null id
-    stays null.
+    Ids are whole numbers. Null and empty texts score 0 and are never toxic; texts of any length are
+    read whole; repeated rows are each judged alike, and a text that scores just the threshold is
+    toxic; a null id stays null. Extra columns are not read. An empty table gives no rows.
     """
     lex = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_labelled=max_labelled)
     return scores(docs, lex, id_col=id_col, text_col=text_col).where(F.col("score") >= lex.threshold)
