@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 
-from siltstone.llm import decontaminate, mixing, quality, simhash
+from siltstone.llm import decontaminate, quality, simhash
 
 
 def words(text):
@@ -67,15 +67,9 @@ def kept(docs, ratio, share, margin=2.0):
     return [i for i in range(len(docs)) if key[i] >= least]
 
 
-def rates(p, n, target):
-    """Projected gradient over the whole matrix at once, to convergence."""
-    r = np.ones(len(p))
-    own = np.maximum((n[:, None] * p * p).sum(axis=0), 1e-9)
-    gram = (p.T * n) @ p
-    top = np.linalg.eigvalsh(gram / np.sqrt(np.outer(own, own))).max()
-    for _ in range(mixing.STEPS):
-        t = p.T @ (n * r)
-        if np.abs(t - target).max() <= mixing.TOLERANCE * target.sum():
-            break
-        r = np.maximum(0, r - p @ ((t - target) / own / top))
+def rates(p, n, target, tolerance=1e-4):
+    """Projected gradient over the whole matrix at once, in the metric of the totals at rate 1, to convergence."""
+    r, own = np.ones(len(p)), np.maximum(p.T @ n, 1e-9)
+    while np.abs(p.T @ (n * r) - target).max() > tolerance * target.sum():
+        r = np.maximum(0, r - p @ ((p.T @ (n * r) - target) / own))
     return r
