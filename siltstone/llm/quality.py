@@ -134,8 +134,9 @@ def threshold(scored: DataFrame, share: float, margin: float = 2.0) -> float:
 def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The kept documents: id, log_weight, gumbel_key.
 
-    Null and empty texts have weight 0 and stand by their noise alone. Rows that tie with the last
-    kept key stay, so repeated rows share one fate. An empty table gives an empty result.
+    Ids are whole numbers. Null and empty texts have weight 0 and stand by their noise alone; texts of
+    any length are scored whole. Rows that tie with the last kept key stay, so repeated rows share one
+    fate; a null id draws as id 0. Extra columns are not read. An empty table gives an empty result.
     """
     ratio, share = fit(docs, labels, id_col=id_col, text_col=text_col, max_labelled=max_labelled)
     scored = cut(scores(docs, ratio, id_col, text_col))

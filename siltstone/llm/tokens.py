@@ -266,7 +266,9 @@ def count_slice(transducer: TokenTransducer, known: dict[int, int], raw: np.ndar
 def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_words, n_bytes of every row; ``vocabulary`` is the path of a ranks file on every node.
 
-    Null and empty texts have 0 of each. Repeated rows and null ids are counted like any other.
+    Ids are whole numbers. Null and empty texts have 0 of each, texts of any length are counted whole.
+    Repeated rows and null ids are counted like any other. There are no ties: a text has one reading.
+    Extra columns are not read. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
