@@ -263,3 +263,57 @@ def test_suppression_covers_its_line_and_the_next(spark):
 def test_every_rule_has_a_finding_somewhere(spark):
     found, _ = raw_findings(frame(spark, [("/r/a.py", function("weigh")), ("/r/b.py", function("weigh"))]))
     assert {r["rule"] for r in found.select("rule").distinct().collect()} == {"duplicate-code", "duplicate-function"}
+
+
+def test_changed_files_of_a_repository(tmp_path):
+    import shutil
+    import subprocess
+
+    assert S.changed_files(str(tmp_path / "none")) == []
+    if not shutil.which("git"):
+        pytest.skip("no git")
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", *a], cwd=tmp_path, check=True, capture_output=True)
+    git("init", "-q")
+    for name in ("a.py", "b.py"):
+        (tmp_path / name).write_text("x = 1\n")
+    names = lambda: sorted(p.rsplit("/", 1)[-1] for p in S.changed_files(str(tmp_path)))
+    assert names() == ["a.py", "b.py"]  # no commit yet
+    git("add", "a.py")
+    git("commit", "-qm", "one")
+    (tmp_path / "a.py").write_text("x = 2\n")
+    assert names() == ["a.py", "b.py"]
+    git("add", "-A")
+    git("commit", "-qm", "two")
+    assert names() == []
+
+
+def test_json_lines_and_exclusions(spark, tmp_path):
+    rows = spark.createDataFrame([("f1", "r", "TP", "ann")], "fingerprint string, rule string, label string, who string")
+    for _ in range(2):
+        S.append_jsonl(rows, str(tmp_path / "log"))
+    assert S.read_jsonl(spark, str(tmp_path / "log"), "fingerprint string, label string").count() == 2
+    assert S.excluded("/r/gen/a.py", {"hook_exclude": "*/gen/*"}) and not S.excluded("/r/a.py", {"hook_exclude": 5})
+    (tmp_path / "s").mkdir()
+    for k in range(3):
+        (tmp_path / "s" / f"m{k}.proto").write_text("message A {}")
+    config = {"_config_dir": str(tmp_path), "schema_roots": ["s", 3], "contract_schemas": "s/m1.proto"}
+    assert [p[-8:] for p in S.config_schema_paths(config)] == ["m1.proto", "m0.proto", "m2.proto"]
+    assert len(S.config_schema_paths(config, 2)) == 2 and len(S.config_schema_paths(config, 9, 0)) == 1
+
+
+def test_batches_of_events_that_fail_pass_unseen(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"hook_event_name": "Stop", "session_id": "a"}\n')
+    told = []
+
+    def run(name, analyse):
+        stream = spark.readStream.schema("value string").text(str(tmp_path / "in"))
+        q = guard.watch(stream, analyse, lambda df, n: told.append((name, df.count())), str(tmp_path / name))
+        q.processAllAvailable()
+        q.stop()
+
+    run("good", lambda events: events)
+    run("bad", lambda events: 1 / 0)
+    monkeypatch.setenv(guard.OFF_VARIABLE, "1")
+    run("off", lambda events: events)
+    assert told == [("good", 1)]
