@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import clones, lines, rules
 from siltstone.operators import neardup as N
+from siltstone.operators.lineage import cut
 from siltstone.plans.catalog import RULES
 from siltstone.plans.planted import QUERIES, SQL
 from siltstone.plans.scan import analyze, raw_findings
@@ -40,7 +41,7 @@ def test_clean_files_have_no_findings(spark):
 
 def test_empty_null_and_broken_files(spark):
     rows = [("/r/a.py", ""), ("/r/b.py", None), ("/r/c.py", "def f(:\n"), ("/r/d.ts", None), ("/r/e.ts", ""), (None, "x"), ("/r/f.py", "x = '\\ud800'\n" + "(" * 300), ("/r/g.py", "\x00"), ("/r/h.py", "-" * 20000 + "1")]
-    assert [(r["rule"], r["file"], r["line"]) for r in analyze(frame(spark, rows)).collect()] == [("syntax-error", "/r/c.py", 1), ("syntax-error", "/r/f.py", 2), ("syntax-error", "/r/g.py", 1)]
+    assert [(r["rule"], r["file"], r["line"]) for r in analyze(frame(spark, rows), functions=False).collect()] == [("syntax-error", "/r/c.py", 1), ("syntax-error", "/r/f.py", 2), ("syntax-error", "/r/g.py", 1)]
     assert analyze(frame(spark, [])).collect() == []
 
 
@@ -179,7 +180,7 @@ def test_configuration_and_baseline(spark, tmp_path, monkeypatch):
     assert S.load_config(str(tmp_path))["_config_dir"] == str(tmp_path)
     from siltstone.operators import findings as V
 
-    found = analyze(frame(spark, [("/r/a.py", "try:\n    go()\nexcept:\n    raise ValueError\n")]), root="/r")
+    found = cut(analyze(frame(spark, [("/r/a.py", "try:\n    go()\nexcept:\n    raise ValueError\n")]), root="/r", functions=False))
     name = str(tmp_path / S.BASELINE_NAME)
     assert S.write_baseline(V.baseline_rows(found, "/r"), name) == 1
     at, known = S.find_baseline(spark, str(tmp_path / "sub"))
@@ -193,8 +194,8 @@ def test_configuration_and_baseline(spark, tmp_path, monkeypatch):
 
 def test_two_scans_of_many_files_agree(spark):
     rows = frame(spark, [(f"/r/m{k:03d}.py", f"def f{k}(a=[]):\n    return a[{k}]\n") for k in range(205)]).repartition(7)
-    once = [tuple(r) for r in analyze(rows).collect()]
-    assert len(once) == 205 and once == [tuple(r) for r in analyze(rows.repartition(3)).collect()]
+    once = [tuple(r) for r in analyze(rows, functions=False).collect()]
+    assert len(once) == 205 and once == [tuple(r) for r in analyze(rows.repartition(3), functions=False).collect()]
 
 
 def test_one_long_file_of_lines(spark):
@@ -257,7 +258,7 @@ def test_malformed_and_active_events_pass_unseen(spark, tmp_path):
 
 def test_suppression_covers_its_line_and_the_next(spark):
     text = "# siltstone:ignore mutable-default\ndef f(a=[]):\n    return a\n\ndef g(a=[]):  # siltstone:ignore bare-except\n    return a\n"
-    assert [(r["rule"], r["line"]) for r in analyze(frame(spark, [("/r/a.py", text)])).collect()] == [("mutable-default", 5)]
+    assert [(r["rule"], r["line"]) for r in analyze(frame(spark, [("/r/a.py", text)]), functions=False).collect()] == [("mutable-default", 5)]
 
 
 def test_every_rule_has_a_finding_somewhere(spark):
