@@ -21,6 +21,8 @@ from .common import cut, fresh, narrow
 DIMS, BITS = 3, 6
 CELLS = 1 << BITS
 TARGET_CHARS = 8_000_000
+#: Beyond so many shards they grow instead: where each begins is known to the driver and the workers, 16 bytes a shard.
+MOST_SHARDS = 500_000
 
 
 def hilbert_table() -> list[int]:
@@ -77,15 +79,38 @@ def hilbert_index(x: str, y: str, z: str) -> F.Column:
     return F.aggregate(levels, start, step)["h"]
 
 
-def name_cells(keys: DataFrame, column: str) -> DataFrame:
-    """value, cell of every distinct name: the share of documents with a lesser name, in CELLS steps.
+def before(rows: DataFrame, order: list[str], size: str) -> DataFrame:
+    """Adds ``before``: the sum of ``size`` over the rows that come before in the order.
 
-    One row a name takes part in the window, not one a document. A null is the empty name.
+    Prefix sums in two levels: within each range partition of the order, and over the one sum a
+    partition. No task sees more than its range. Rows that tie get consecutive places.
+    """
+    parts = max(8, rows.sparkSession.sparkContext.defaultParallelism * 2)
+    ordered = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ordered.groupBy("part").agg(F.sum(size).alias("n"))  # one row a partition
+    ahead = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    return ordered.withColumn("local", F.coalesce(F.sum(size).over(own), F.lit(0))).join(F.broadcast(ahead), "part").withColumn("before", F.col("local") + F.col("ahead")).drop("local", "ahead", "part")
+
+
+def bounds(keys: DataFrame, column: str) -> list[tuple[str, int]]:
+    """(first name, cell) of every cell: a name's cell is the share of documents with a lesser name, in CELLS steps.
+
+    At most CELLS rows come to the driver, whatever the number of names. A null is the empty name.
     """
     counts = keys.groupBy(F.coalesce(F.col(column), F.lit("")).alias("value")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select("value", F.least(F.lit(CELLS - 1), F.floor(F.coalesce(before, F.lit(0)) * CELLS / total)).cast("int").alias("cell"))
+    placed = before(counts, ["value"], "n")
+    total = placed.agg(F.sum("n")).first()[0] or 1
+    cell = F.least(F.lit(CELLS - 1), F.floor(F.col("before") * CELLS / total)).cast("int")
+    return [(r["first"], r["cell"]) for r in placed.groupBy(cell.alias("cell")).agg(F.min("value").alias("first")).orderBy("cell").collect()]
+
+
+def cell_of(name: F.Column, names: list[tuple[str, int]]) -> F.Column:
+    """The cell of a name by comparison with the bounds, which are literals: no join."""
+    out = F.lit(names[-1][1] if names else 0)
+    for (_, cell), (upper, _) in zip(reversed(names[:-1]), reversed(names[1:]), strict=True):
+        out = F.when(name < upper, cell).otherwise(out)
+    return out.cast("int")
 
 
 def length_cell(n: F.Column) -> F.Column:
@@ -93,54 +118,46 @@ def length_cell(n: F.Column) -> F.Column:
     return F.least(F.lit(CELLS - 1), F.floor(F.log2(F.greatest(n, F.lit(0)) + 1) * 4)).cast("int")
 
 
-def curve(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Narrow rows (id, size, lang, source) and the two name tables, written once."""
+def indexed(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> tuple[DataFrame, list, list]:
+    """Narrow rows (id, size, h), with the bounds of the two names. The texts are read once, for their length."""
     rows = narrow(docs, {"id": id_col, "text": text_col, "lang": lang_col, "source": source_col}).select(F.col("id").cast("long"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
     rows = cut(rows)
-    return rows, cut(name_cells(rows, "lang")), cut(name_cells(rows, "source"))
-
-
-def indexed(rows: DataFrame, langs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds x, y, z and the curve index to rows (id, size, lang, source)."""
-    a = langs.select(F.col("value").alias("lang"), F.col("cell").alias("x"))
-    b = sources.select(F.col("value").alias("source"), F.col("cell").alias("y"))
-    return rows.join(a, "lang").join(b, "source").withColumn("z", length_cell(F.col("size"))).withColumn("h", hilbert_index("x", "y", "z"))
+    langs, sources = bounds(rows, "lang"), bounds(rows, "source")
+    placed = rows.withColumns({"x": cell_of(F.col("lang"), langs), "y": cell_of(F.col("source"), sources), "z": length_cell(F.col("size"))})
+    return placed.select("id", "size", hilbert_index("x", "y", "z").alias("h"), F.coalesce("id", F.lit(-1)).alias("place")), langs, sources
 
 
 def runs(rows: DataFrame, target: int) -> DataFrame:
-    """Adds ``shard``: characters that come before in the order (h, id, size), divided by ``target``.
-
-    Prefix sums in two levels: within each range partition of the order, and over the one sum a
-    partition. Rows that tie in h, id and size get consecutive places.
-    """
-    ordered = rows.repartitionByRange(max(8, rows.sparkSession.sparkContext.defaultParallelism * 2), "h", F.coalesce("id", F.lit(-1)), "size").sortWithinPartitions("h", F.coalesce("id", F.lit(-1)), "size")
-    ordered = cut(ordered.withColumn("part", F.spark_partition_id()))
-    own = Window.partitionBy("part").orderBy("h", F.coalesce("id", F.lit(-1)), "size").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ordered.groupBy("part").agg(F.sum("size").alias("n"))
-    ahead = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    return ordered.withColumn("local", F.coalesce(F.sum("size").over(own), F.lit(0))).join(F.broadcast(ahead), "part").withColumn("shard", F.floor((F.col("local") + F.col("ahead")) / target).cast("long")).drop("local", "ahead", "part")
+    """Adds ``shard``: characters that come before in the order (h, id, size), divided by ``target`` or by what gives MOST_SHARDS."""
+    placed = before(rows, ["h", "place", "size"], "size")
+    total = placed.agg(F.sum("size")).first()[0] or 0
+    return placed.withColumn("shard", F.floor(F.col("before") / max(target, total // MOST_SHARDS)).cast("long"))
 
 
 def shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", target: int = TARGET_CHARS) -> DataFrame:
     """id, hilbert, shard of every row.
 
-    A null name counts as the empty name, a null text as empty, a null id sorts as -1. Repeated rows
-    are placed one after the other. An empty table gives no rows.
+    Ids are whole numbers. A null name counts as the empty name, a null text as empty, a null id sorts
+    as -1. Repeated rows are placed one after the other, and so are rows that tie in curve, id and
+    length. A text of any length is one row of one shard. Extra columns are not read. An empty table
+    gives no rows.
     """
-    placed = runs(indexed(*curve(docs, id_col, text_col, lang_col, source_col)), target)
-    return placed.select(F.col("id").alias(id_col), F.col("h").alias("hilbert"), "shard")
+    rows, _, _ = indexed(docs, id_col, text_col, lang_col, source_col)
+    return runs(rows, target).select(F.col("id").alias(id_col), F.col("h").alias("hilbert"), "shard")
 
 
 def sharded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", target: int = TARGET_CHARS) -> DataFrame:
     """``docs`` plus ``hilbert`` and ``shard``, a partition a shard, sorted along the curve.
 
     The runs are cut on the narrow table; the only thing kept of them is where each starts, one row a
-    shard (shards are numbered from 0 without gaps here). The texts are shuffled once. Columns of
-    ``docs`` that are named hilbert or shard are replaced. Rows that tie across a cut go to the later run.
+    shard, MOST_SHARDS at most (shards are numbered from 0 without gaps here). The texts are shuffled
+    once and join with nothing. Columns of ``docs`` that are named hilbert or shard are replaced. Rows
+    that tie across a cut go to the later run. Nulls, repeated rows, long texts and empty tables as in
+    ``shards``; other extra columns stay, whatever their names.
     """
     docs = docs.drop(*[c for c in ("hilbert", "shard") if c not in (id_col, text_col, lang_col, source_col)])
-    rows, langs, sources = curve(docs, id_col, text_col, lang_col, source_col)
-    starts = runs(indexed(rows, langs, sources), target).groupBy("shard").agg(F.min(F.struct("h", F.coalesce("id", F.lit(-1)).alias("id"))).alias("s")).select("shard", "s.h", "s.id").orderBy("shard").toPandas()
+    rows, langs, sources = indexed(docs, id_col, text_col, lang_col, source_col)
+    starts = runs(rows, target).groupBy("shard").agg(F.min(F.struct("h", "place")).alias("s")).select("shard", "s.h", F.col("s.place").alias("id")).orderBy("shard").toPandas()
     if not len(starts):
         return docs.withColumn("hilbert", F.lit(0).cast("long")).withColumn("shard", F.lit(0).cast("long"))
     first = np.rec.fromarrays([starts["h"].to_numpy(np.int64), starts["id"].to_numpy(np.int64)], names="h,id")
@@ -150,16 +167,16 @@ def sharded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         at = np.rec.fromarrays([h.to_numpy(np.int64), ids.to_numpy(np.int64)], names="h,id")
         return pd.Series(np.searchsorted(first, at, "right").astype(np.int32) - 1).clip(lower=0)
 
-    lang, source, z, at_id, x, y, at = (fresh(docs, n) for n in ("__lang", "__source", "__z", "__id", "__x", "__y", "__at"))
-    key = {lang: F.coalesce(F.col(f"`{lang_col}`"), F.lit("")), source: F.coalesce(F.col(f"`{source_col}`"), F.lit("")), z: length_cell(F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))), at_id: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1))}
-    wide = docs.withColumns(key).join(langs.select(F.col("value").alias(lang), F.col("cell").alias(x)), lang).join(sources.select(F.col("value").alias(source), F.col("cell").alias(y)), source)
+    z, at_id, x, y, at = (fresh(docs, n) for n in ("__z", "__id", "__x", "__y", "__at"))
+    name = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
+    wide = docs.withColumns({x: cell_of(name(lang_col), langs), y: cell_of(name(source_col), sources), z: length_cell(F.length(name(text_col))), at_id: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1))})
     wide = wide.withColumn("hilbert", hilbert_index(x, y, z)).withColumn(at, place("hilbert", at_id))
     wide = wide.repartitionById(len(starts), F.col(at)).sortWithinPartitions("hilbert", at_id)
     return wide.select(*[F.col(f"`{c}`") for c in docs.columns], "hilbert", F.col(at).cast("long").alias("shard"))
 
 
 def oracle_sql(target: int = TARGET_CHARS) -> str:
-    """The same placement as one DuckDB query over ``documents``."""
+    """The same placement as one DuckDB query over ``documents``; no table that it runs on has MOST_SHARDS shards."""
     table = "[" + ", ".join(map(str, TABLE)) + "]"
     levels = []
     state = "0"
