@@ -78,7 +78,7 @@ def has(names: str, value: Column) -> Column:
     return F.array_contains(names, value)
 
 
-# ------------------------------------------------------------------ Python
+# == Python ==
 
 
 def syntax_errors() -> Column:
@@ -199,7 +199,7 @@ def python_rules(s: Settings) -> list[Column]:
     return [syntax_errors(), dead_code(), unused_private(), write_only(), unused_imports(), placeholders(), swallowed(), bare_excepts(), mutable_defaults(), long_functions(s), deep_nesting(s), single_method(), debug_prints(), python_comments(), *unit_rules(s)]
 
 
-# ------------------------------------------------------------------ Python tests
+# == Python tests ==
 
 
 def unit_rules(s: Settings) -> list[Column]:
@@ -238,7 +238,7 @@ def unit_rules(s: Settings) -> list[Column]:
     ]
 
 
-# ------------------------------------------------------------------ other languages
+# == other languages ==
 
 
 def _is(kinds: set[str]) -> Column:

@@ -36,7 +36,7 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
 
 
-# ------------------------------------------------------------------ lines and copied blocks
+# == lines and copied blocks ==
 
 _LINES = r"""s AS (SELECT doc_id AS path, regexp_split_to_array(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]') AS a FROM documents),
 l AS (SELECT path, unnest(a) AS raw, generate_subscripts(a, 1) AS line FROM s),
@@ -76,7 +76,7 @@ def clone_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.clone_blocks(doc_files(spark, sf_dir))
 
 
-# ------------------------------------------------------------------ near duplicates
+# == near duplicates ==
 
 _SHINGLES = r"""t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents),
 w AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
@@ -220,7 +220,7 @@ def same_name_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.same_name_pairs(part.select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("id"), F.col("p_size").alias("n_shingles"), F.col("p_partkey").alias("path"), F.lit(1).alias("line")))
 
 
-# ------------------------------------------------------------------ findings, from events
+# == findings, from events ==
 
 _RULE_NAMES = ["as-any", "bare-except", "dead-code", "deep-nesting", "duplicate-function", "hand-rolled-contract", "unused-import"]
 _RULES_SQL = "[" + ", ".join(f"'{r}'" for r in _RULE_NAMES) + "]"
@@ -343,7 +343,7 @@ def loop_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_reports(rows.select("session", F.col("event_id").alias("seq"), F.sha2(F.concat_ws("|", "rule", "severity", "line"), 256).alias("digest"))).withColumnRenamed("seq", "event_id")
 
 
-# ------------------------------------------------------------------ verdicts, from labels
+# == verdicts, from labels ==
 
 _VERDICTS = """v AS (SELECT 'f' || doc_id AS fingerprint, (['r0', 'r1', 'r2', 'r3'])[doc_id % 4 + 1] AS rule, CASE WHEN quality = 1 THEN 'TP' ELSE 'FP' END AS label, 'ann' AS who FROM labels
 UNION ALL SELECT 'f' || doc_id, (['r0', 'r1', 'r2', 'r3'])[doc_id % 4 + 1], CASE WHEN toxic = 1 THEN 'FP' WHEN doc_id % 5 = 0 THEN 'uncertain' ELSE 'TP' END, 'bob' FROM labels WHERE doc_id % 3 = 0),
@@ -377,7 +377,7 @@ def context_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.context(found, doc_files(spark, sf_dir)).select("fingerprint", F.md5("context").alias("context_md5"))
 
 
-# ------------------------------------------------------------------ predicates on paths and texts
+# == predicates on paths and texts ==
 
 _PATHS = """p AS (SELECT p_partkey AS id, (['src/', 'tests/', 'build/', 'docs/examples/', 'generated/'])[p_partkey % 5 + 1] || (['mod', 'test_mod', 'mod.test', 'api_schema', 'mod.gen', 'mod.min'])[p_size % 6 + 1] || p_partkey || (['.py', '.ts', '.proto', '.json', '.txt', '.js', '.Yaml'])[p_partkey % 7 + 1] AS path, CASE WHEN p_partkey % 11 = 0 THEN '# DO NOT EDIT' ELSE '# ' || p_name END AS text FROM part)"""
 
@@ -418,7 +418,7 @@ def sibling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return siblings(paths, paths.join(dear, "id", "left_semi")).select("id", "path")
 
 
-# ------------------------------------------------------------------ comment text, from documents and conversations
+# == comment text, from documents and conversations ==
 
 
 @query("canonical_names", r"WITH n AS (SELECT p_partkey AS id, (['PickID', 'toolName', 'HTTPServer', 'plain', 'already_snake', 'x2Y'])[p_partkey % 6 + 1] || (['', 'Id', 'URLs'])[p_size % 3 + 1] AS name FROM part) SELECT id, lower(regexp_replace(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS canon FROM n")

@@ -62,7 +62,7 @@ def plant(name: str, pick: Callable[[], list[Column]], variants: list[Variant],
     SQL[name] = planted_sql(variants, path)
 
 
-# ------------------------------------------------------------------ Python
+# == Python ==
 
 plant("py_syntax", lambda: [rules.syntax_errors()], [("x = 1\n", ""), ("def f(:\n    pass\n", "syntax-error:1"), ("a = 1\nb = = 2\n", "syntax-error:2"), ("match x:\n    case 1:\n        y = @K@\n", "")])
 
@@ -165,7 +165,7 @@ plant("type_ignores", lambda: [rules.python_comments()], [
     ("s = '# for simplicity'\n# x = 1\n# keeps the order of keys\ny = 2\n", ""),
 ])
 
-# ------------------------------------------------------------------ Python tests
+# == Python tests ==
 
 _T = "/r/tests/test_m@K@.py"
 _TEST = lambda *names: lambda: [rules.unit_rules(Settings())[k] for k in names]
@@ -220,7 +220,7 @@ plant("parametrize", _TEST(10), [
     ("".join(f"def test_{k}():\n    x = go{k}(1)\n    assert x\n\n" for k in range(4)), ""),
 ], _T)
 
-# ------------------------------------------------------------------ other languages
+# == other languages ==
 
 _TS, _S = "/r/src/m@K@.ts", Settings()
 plant("type_escapes", lambda: [rules.type_escapes()], [
@@ -259,7 +259,7 @@ plant("script_tests", lambda: rules.block_rules(_S), [
     ("".join(f"it('a{k}', () => {{\n  const x = f({k});\n  expect(x).toBe({k + 7});\n}});\n" for k in range(3)), "parametrize-candidate:1"), ("it('a', () => {\n" + "  vi.fn();\n" * 6 + "  expect(x).toBe(1);\n});\n", "excessive-mocking:1"),
 ], "/r/src/m@K@.test.ts")
 
-# ------------------------------------------------------------------ masks, comments, suppressions
+# == masks, comments, suppressions ==
 
 _MASKS = [("a('x') // c\nb", "a(   )     \nb"), ("s = \"a\\\"b\" + /* m\nn */ 1", "s =        +     \n     1"), ("`a\nb` c", "  \n   c"), ("'open\nd('e')", "     \nd(   )"), ("x / y // z", "x / y     ")]
 QUERIES["mask_non_code"] = lambda spark, sf_dir: scripts.scripts(files(spark, sf_dir, _MASKS, "/r/m@K@.ts")).select(F.col("path").alias("file"), F.array_join("code", "\n").alias("code"))
@@ -273,7 +273,7 @@ _HUSH = [("x = 1  # siltstone:ignore dead-code -- why not bare-except\n", "dead-
 QUERIES["suppression_marks"] = lambda spark, sf_dir: parsed(files(spark, sf_dir, [(h[0], "") for h in _HUSH], "/r/m@K@.py")).select(F.col("path").alias("file"), F.explode("ignores").alias("i")).select("file", F.col("i.line").alias("line"), F.coalesce(F.array_join("i.rules", ","), F.lit("*")).alias("rules"))
 SQL["suppression_marks"] = f"SELECT '/r/m' || p_partkey || '.py' AS file, ([{', '.join(str(h[2]) for h in _HUSH)}])[p_partkey % 4 + 1] AS line, ({literals([h[1] for h in _HUSH])})[p_partkey % 4 + 1] AS rules FROM part"
 
-# ------------------------------------------------------------------ functions of one shape, and nearly alike
+# == functions of one shape, and nearly alike ==
 
 
 def dup_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +300,7 @@ def diverged_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["diverged_functions"] = diverged_functions
 SQL["diverged_functions"] = "SELECT 'diverged-duplicate' AS rule, 'warn' AS severity, printf('/r/m%09d.py', max(p_partkey)) AS file, 1 AS line FROM part GROUP BY p_partkey // 2 HAVING count(*) = 2"
 
-# ------------------------------------------------------------------ contracts
+# == contracts ==
 
 _SCHEMAS = [
     ("/s/a.proto", 'message Job { // one\n  string job_name = 1;\n  repeated int32 run_ids = 2;\n  map<string, int32> part_sizes = 3;\n  enum Kind { NONE = 0; }\n  message Inner {\n    string inner_only = 1;\n  }\n  string owner = 4 [json_name = "jobOwner"];\n}\n', "a.proto Job|jobOwner,job_name,owner,part_sizes,run_ids;a.proto Inner|inner_only"),
@@ -356,7 +356,7 @@ QUERIES["best_message"] = best_message
 _BEST = [(0, "a.proto Job"), (1, "a.proto Job"), (2, "a.proto Job"), (3, "a.proto Job"), (5, "a.proto Job"), (6, "c.thrift Row")]
 SQL["best_message"] = f"SELECT '/r/src/m' || p_partkey || '.py' AS file, v.label FROM part JOIN (VALUES {', '.join(f"({k}, '{m}')" for k, m in _BEST)}) v(i, label) ON p_partkey % {len(_DICTS)} = v.i"
 
-# ------------------------------------------------------------------ whole scans
+# == whole scans ==
 
 #: path, text, and what is left of it in the end: rule:line:severity:occurrence:content of the line
 _SCANNED = [

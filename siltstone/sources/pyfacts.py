@@ -13,7 +13,7 @@ import re
 import textwrap
 import tokenize
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,16 +54,43 @@ ignores array<struct<line: int, rules: array<string>>>,
 tests array<struct<name: string, line: int, n_body: int, parametrized: boolean, empty: boolean, shape: string, mocks: int, asserts: array<struct<line: int, kind: string, under_if: boolean>>, same: array<struct<line: int, form: string>>, sides: array<struct<line: int, kind: string, n: int, value: string>>, planted: array<struct<value: string, line: int>>, pokes: array<struct<name: string, line: int, own: boolean>>, sleeps: array<struct<line: int, zero: boolean, shadowed: boolean, injected: boolean>>>>"""
 
 
+def name_of(node: ast.AST | None) -> str | None:
+    return node.id if isinstance(node, ast.Name) else None
+
+
+def constant_of(node: ast.AST | None) -> object:
+    """The value of a literal; the node itself, which equals no value, of anything else."""
+    return node.value if isinstance(node, ast.Constant) else node
+
+
+def text_of(node: ast.AST | None) -> str | None:
+    value = constant_of(node)
+    return value if isinstance(value, str) else None
+
+
+def attr_of(node: ast.AST | None) -> str | None:
+    return node.attr if isinstance(node, ast.Attribute) else None
+
+
+def names_with(nodes: Iterable[ast.AST], ctx: type) -> set[str]:
+    """Names that are stored or loaded, as ``ctx`` says."""
+    return {n.id for n in nodes if name_of(n) and isinstance(n.ctx, ctx)}
+
+
 def is_doc(stmt: ast.stmt) -> bool:
-    return isinstance(stmt, ast.Expr) and isinstance(stmt.value, ast.Constant) and isinstance(stmt.value.value, str)
+    return isinstance(stmt, ast.Expr) and text_of(stmt.value) is not None
 
 
 def without_doc(body: list[ast.stmt]) -> list[ast.stmt]:
     return body[1:] if body and is_doc(body[0]) else body
 
 
+def only_passes(body: list[ast.stmt]) -> bool:
+    return {type(s) for s in body} <= {ast.Pass}
+
+
 def does_nothing(body: list[ast.stmt]) -> bool:
-    return all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and s.value.value is ... for s in body)
+    return only_passes([s for s in body if not isinstance(s, ast.Expr) or constant_of(s.value) is not ...])
 
 
 def parameters(args: ast.arguments) -> set[str]:
@@ -80,9 +107,8 @@ def bound_in(fn: ast.AST) -> set[str]:
         if isinstance(node, SCOPE):
             own.add(node.name)
         elif not isinstance(node, ast.Lambda):
-            if isinstance(node, ast.Name) and isinstance(node.ctx, ast.Store):
-                own.add(node.id)
-            elif isinstance(node, (ast.Import, ast.ImportFrom)):
+            own |= names_with([node], ast.Store)
+            if isinstance(node, (ast.Import, ast.ImportFrom)):
                 whole = isinstance(node, ast.ImportFrom)
                 own |= {a.asname or (a.name if whole else a.name.partition(".")[0]) for a in node.names if not whole or a.name != "*"}
             elif isinstance(node, ast.ExceptHandler) and node.name:
@@ -156,12 +182,12 @@ def shingles(source: str) -> list[int]:
 
 
 def dotted(node: ast.AST) -> str:
-    while isinstance(node, ast.Call):
-        node = node.func
+    if isinstance(node, ast.Call):
+        return dotted(node.func)
     if isinstance(node, ast.Attribute):
         left = dotted(node.value)
         return f"{left}.{node.attr}" if left else node.attr
-    return node.id if isinstance(node, ast.Name) else ""
+    return name_of(node) or ""
 
 
 def parts_of(decorator: ast.AST) -> list[str]:
@@ -200,27 +226,30 @@ class Module:
     def noqa(self, first: int, last: int) -> bool:
         return any("noqa" in line for line in self.lines[max(first - 1, 0) : last])
 
-    def _find_markers(self) -> None:
-        self.marker_names, self.marker_modules = {}, {}
+    def imported(self) -> Iterator[tuple[str, str | None, str]]:
+        """(first part of the module, member or None for the module itself, name it is known by) of imports at the margin."""
         for node in self.margin:
-            if isinstance(node, ast.Import):
-                for a in node.names:
-                    root = a.name.partition(".")[0]
-                    if root in MARKERS:
-                        self.marker_modules[a.asname or root] = root
-            elif isinstance(node, ast.ImportFrom):
-                known = MARKERS.get((node.module or "").partition(".")[0], set())
+            if isinstance(node, (ast.ImportFrom, ast.Import)):
+                whole = isinstance(node, ast.Import)
                 for a in node.names:
-                    self.marker_names |= {k: k for k in known} if a.name == "*" else {a.asname or a.name: a.name} if a.name in known else {}
+                    root = (a.name if whole else node.module or "").partition(".")[0]
+                    yield root, None if whole else a.name, a.asname or (root if whole else a.name)
+
+    def _find_markers(self) -> None:
+        self.marker_names, self.marker_modules = {}, {}
+        for root, member, known_as in self.imported():
+            have = MARKERS.get(root, set())
+            if have and member is None:
+                self.marker_modules[known_as] = root
+            self.marker_names |= {k: k for k in have} if member == "*" else {known_as: member} if member in have else {}
 
     def marker(self, base: ast.AST) -> str | None:
         if isinstance(base, ast.Subscript):
             base = base.value
-        if isinstance(base, ast.Name):
-            return base.id if base.id == "object" else self.marker_names.get(base.id)
-        if isinstance(base, ast.Attribute) and isinstance(base.value, ast.Name):
-            return base.attr if base.attr in MARKERS.get(self.marker_modules.get(base.value.id, ""), ()) else None
-        return None
+        if name := name_of(base):
+            return name if name == "object" else self.marker_names.get(name)
+        module = self.marker_modules.get(name_of(base.value)) if attr_of(base) else None
+        return base.attr if attr_of(base) in MARKERS.get(module, ()) else None
 
     def based(self, node: ast.ClassDef) -> bool:
         return any(self.marker(b) is None for b in node.bases)
@@ -230,43 +259,30 @@ class Module:
 
     def _find_owned(self) -> None:
         self.annotated, self.annotated_in, self.owners, self.owners_in, self.owned_alias = set(), set(), set(), set(), set()
+        for root, member, known_as in self.imported():
+            hints, framework = root in ("typing", "typing_extensions"), root == "fastapi"
+            if member is None:
+                (self.annotated_in if hints else self.owners_in if framework else set()).add(known_as)
+            elif hints and member in ("Annotated", "*"):
+                self.annotated.add("Annotated" if member == "*" else known_as)
+            elif framework:
+                self.owners |= OWNS_DEFAULT if member == "*" else {known_as} if member in OWNS_DEFAULT else set()
         for node in self.margin:
-            if isinstance(node, ast.Import):
-                for a in node.names:
-                    root = a.name.partition(".")[0]
-                    (self.annotated_in if root in ("typing", "typing_extensions") else self.owners_in if root == "fastapi" else set()).add(a.asname or root)
-            elif isinstance(node, ast.ImportFrom):
-                root = (node.module or "").partition(".")[0]
-                for a in node.names:
-                    if root in ("typing", "typing_extensions") and a.name in ("Annotated", "*"):
-                        self.annotated.add("Annotated" if a.name == "*" else a.asname or a.name)
-                    if root == "fastapi":
-                        self.owners |= OWNS_DEFAULT if a.name == "*" else {a.asname or a.name} if a.name in OWNS_DEFAULT else set()
-        for node in self.margin:
-            if isinstance(node, (ast.Assign, ast.AnnAssign)) and node.value is not None and self.owned(node.value):
-                targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-                self.owned_alias |= {t.id for t in targets if isinstance(t, ast.Name)}
+            if isinstance(node, (ast.Assign, ast.AnnAssign)) and self.owned(node.value):
+                self.owned_alias |= set(map(name_of, node.targets if isinstance(node, ast.Assign) else [node.target])) - {None}
 
     def owned(self, hint: ast.AST | None) -> bool:
         """Whether an annotation hands the default over to a framework."""
-        if isinstance(hint, ast.Name):
-            return hint.id in self.owned_alias
         if not isinstance(hint, ast.Subscript):
-            return False
+            return name_of(hint) in self.owned_alias
         of = hint.value
-        named = isinstance(of, ast.Name) and of.id in self.annotated
-        reached = isinstance(of, ast.Attribute) and of.attr == "Annotated" and isinstance(of.value, ast.Name) and of.value.id in self.annotated_in
-        if not named and not reached:
+        if name_of(of) not in self.annotated and not (attr_of(of) == "Annotated" and name_of(of.value) in self.annotated_in):
             return False
         rest = hint.slice.elts[1:] if isinstance(hint.slice, ast.Tuple) else []
-        for call in (n.func for part in rest for n in ast.walk(part) if isinstance(n, ast.Call)):
-            if isinstance(call, ast.Name) and call.id in self.owners:
-                return True
-            if isinstance(call, ast.Attribute) and call.attr in OWNS_DEFAULT and isinstance(call.value, ast.Name) and call.value.id in self.owners_in:
-                return True
-        return False
+        called = [n.func for part in rest for n in ast.walk(part) if isinstance(n, ast.Call)]
+        return any(name_of(c) in self.owners or attr_of(c) in OWNS_DEFAULT and name_of(c.value) in self.owners_in for c in called)
 
-    # ------------------------------------------------------------------ columns
+    # == columns ==
 
     def functions(self) -> list[dict]:
         inner: dict[ast.AST, int] = {}
@@ -296,7 +312,7 @@ class Module:
         out = []
         for spot, value in pairs:
             if value is not None:
-                made = isinstance(value, ast.Call) and isinstance(value.func, ast.Name) and value.func.id in {"set", "list", "dict"}
+                made = isinstance(value, ast.Call) and name_of(value.func) in {"set", "list", "dict"}
                 out.append({"line": value.lineno, "mutable": made or isinstance(value, (ast.Set, ast.List, ast.Dict)), "owned": self.owned(spot.annotation), "noqa": self.noqa(value.lineno, value.lineno)})
         return out
 
@@ -307,7 +323,7 @@ class Module:
             node, depth = todo.pop()
             below = []
             for child in ast.iter_child_nodes(node):
-                chained = isinstance(node, ast.If) and isinstance(child, ast.If) and node.orelse == [child]
+                chained = {type(node), type(child)} == {ast.If} and node.orelse == [child]
                 below.append((child, depth + (isinstance(child, BLOCK) and not chained)))
             todo += reversed([b for b in below if not isinstance(b[0], (*SCOPE, ast.Lambda))])
             if depth > best[0]:
@@ -339,7 +355,7 @@ class Module:
         read = set()
         for node in self.nodes:
             spot = node.target if isinstance(node, ast.AugAssign) else node
-            if isinstance(spot, ast.Attribute) and isinstance(spot.value, ast.Name) and spot.value.id == "self":
+            if attr_of(spot) and name_of(spot.value) == "self":
                 home = next((p for p in self.above(spot) if isinstance(p, ast.ClassDef)), None)
                 if home is not None:
                     if isinstance(spot.ctx, ast.Store) and spot is node:
@@ -367,14 +383,14 @@ class Module:
                     loop = None if isinstance(up, FUNCTION) else "while" if isinstance(up, ast.While) else "for"
                     break
             last = node.body[-1]
-            out.append({"line": node.lineno, "typed": node.type is not None, "caught": [getattr(k, "attr", getattr(k, "id", "")) for k in kinds], "passes": all(isinstance(s, ast.Pass) for s in node.body), "reraises": isinstance(last, ast.Raise) and last.exc is None, "try_leaves": isinstance(over.body[-1], (ast.Continue, ast.Break, ast.Return)), "loop": loop})
+            out.append({"line": node.lineno, "typed": node.type is not None, "caught": [getattr(k, "attr", getattr(k, "id", "")) for k in kinds], "passes": only_passes(node.body), "reraises": isinstance(last, ast.Raise) and last.exc is None, "try_leaves": isinstance(over.body[-1], (ast.Continue, ast.Break, ast.Return)), "loop": loop})
         return out
 
     def imports(self) -> list[dict]:
         out = []
         for node in self.margin:
             if isinstance(node, ast.Import):
-                names = [a.asname or a.name for a in node.names if a.asname or "." not in a.name]
+                names = [a.asname or a.name for a in node.names if not ("." in a.name and a.asname is None)]
             elif isinstance(node, ast.ImportFrom) and node.module != "__future__":
                 names = [a.asname or a.name for a in node.names if a.name != "*"]
             else:
@@ -386,8 +402,8 @@ class Module:
     def exported(self) -> list[str]:
         out = []
         for node in self.tree.body:
-            if isinstance(node, ast.Assign) and isinstance(node.value, (ast.Tuple, ast.List)) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in node.targets):
-                out += [e.value for e in node.value.elts if isinstance(e, ast.Constant) and isinstance(e.value, str)]
+            if isinstance(node, ast.Assign) and isinstance(node.value, (ast.Tuple, ast.List)) and "__all__" in map(name_of, node.targets):
+                out += [t for t in map(text_of, node.value.elts) if t is not None]
         return out
 
     def logs(self) -> bool:
@@ -398,14 +414,14 @@ class Module:
         out = []
         for node in self.nodes:
             if isinstance(node, ast.Dict) and len(node.keys) >= 4:
-                keys = [{"key": k.value, "line": k.lineno} for k in node.keys if isinstance(k, ast.Constant) and isinstance(k.value, str)]
+                keys = [{"key": k.value, "line": k.lineno} for k in node.keys if text_of(k) is not None]
                 out.append({"line": node.lineno, "n": len(node.keys), "keys": keys})
         return out
 
     def harness(self) -> bool:
-        return any(isinstance(n, ast.If) and isinstance(n.test, ast.Compare) and isinstance(n.test.left, ast.Name) and n.test.left.id == "__name__" for n in self.tree.body)
+        return any(isinstance(n, ast.If) and isinstance(n.test, ast.Compare) and name_of(n.test.left) == "__name__" for n in self.tree.body)
 
-    # ------------------------------------------------------------------ tests
+    # == tests ==
 
     def tests(self) -> list[dict]:
         found, todo = [], [*self.tree.body]
@@ -429,10 +445,10 @@ class Module:
         asserts, same, sides, planted, pokes = [], [], [], {}, {}
         mocks = sum(any("patch" in p for p in parts_of(d)) for d in fn.decorator_list)
         for node in own:
-            if isinstance(node, ast.Assign) and isinstance(node.value, ast.Constant) and any(isinstance(t, ast.Attribute) and t.attr == "return_value" for t in node.targets):
+            if isinstance(node, ast.Assign) and constant_of(node.value) is not node.value and "return_value" in map(attr_of, node.targets):
                 planted.setdefault(value_key(node.value.value), node.lineno)
-            if isinstance(node, ast.Attribute) and isinstance(node.ctx, ast.Load) and node.attr.startswith("_"):
-                pokes.setdefault((node.attr, isinstance(node.value, ast.Name) and node.value.id == "self"), node.lineno)
+            if (attr_of(node) or "").startswith("_") and isinstance(node.ctx, ast.Load):
+                pokes.setdefault((node.attr, name_of(node.value) == "self"), node.lineno)
             form = None
             if isinstance(node, ast.Assert):
                 asserts.append((node, "plain"))
@@ -441,16 +457,16 @@ class Module:
                     sides += [(node.lineno, node.test.left), (node.lineno, node.test.comparators[0])]
             elif isinstance(node, ast.Call):
                 called = node.func
-                name = called.attr if isinstance(called, ast.Attribute) else called.id if isinstance(called, ast.Name) else ""
+                name = attr_of(called) or name_of(called) or ""
                 mocks += name in ("Mock", "AsyncMock", "MagicMock", "patch")
                 for word in node.keywords:
-                    if word.arg == "return_value" and isinstance(word.value, ast.Constant):
+                    if word.arg == "return_value" and constant_of(word.value) is not word.value:
                         planted.setdefault(value_key(word.value.value), node.lineno)
                 if isinstance(called, ast.Attribute):
                     kind = "mock" if name.startswith(MOCK_CALLS) else "raises" if name in RAISES else "plain" if name.startswith("assert") or name == "fail" else None
                     if name in ("assertIs", "assertEqual") and len(node.args) > 1 and ast.dump(node.args[0]) == ast.dump(node.args[1]):
                         form = "same"
-                    elif name == "assertTrue" and node.args and isinstance(node.args[0], ast.Constant):
+                    elif name == "assertTrue" and constant_of(first := next(iter(node.args), None)) is not first:
                         form = self._vacuous(node.args[0])
                     if name in ("assertListEqual", "assertDictEqual", "assertEqual"):
                         sides += [(node.lineno, a) for a in node.args[:2]]
@@ -459,7 +475,7 @@ class Module:
                 asserts += [(node, kind)] if kind else []
             same += [{"line": node.lineno, "form": form}] if form else []
         return {
-            "name": fn.name, "line": fn.lineno, "n_body": len(fn.body), "parametrized": any("parametrize" in ast.dump(d) for d in fn.decorator_list), "empty": does_nothing(without_doc(fn.body)), "shape": unit_shape(fn), "mocks": mocks,
+            "name": fn.name, "line": fn.lineno, "n_body": len(fn.body), "parametrized": "parametrize" in " ".join(map(ast.dump, fn.decorator_list)), "empty": does_nothing(without_doc(fn.body)), "shape": unit_shape(fn), "mocks": mocks,
             "asserts": [{"line": n.lineno, "kind": k, "under_if": k != "helper" and self._under_if(n, fn)} for n, k in asserts], "same": same, "sides": [self._side(*s) for s in sides],
             "planted": [{"value": v, "line": at} for v, at in planted.items()], "pokes": [{"name": n, "line": at, "own": o} for (n, o), at in pokes.items()], "sleeps": self._sleeps(fn, own, modules, calls),
         }
@@ -483,7 +499,8 @@ class Module:
     @staticmethod
     def _checks(stmts: list[ast.stmt]) -> bool:
         for node in (n for s in stmts for n in ast.walk(s)):
-            if isinstance(node, ast.Assert) or isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and (node.func.attr in RAISES or node.func.attr.startswith("assert")):
+            name = attr_of(node.func) or "" if isinstance(node, ast.Call) else ""
+            if isinstance(node, ast.Assert) or name in RAISES or name.startswith("assert"):
                 return True
         return False
 
@@ -497,20 +514,17 @@ class Module:
 
     @staticmethod
     def _sleeps(fn: ast.AST, own: list[ast.AST], modules: set[str], calls: set[str]) -> list[dict]:
-        hidden = parameters(fn.args) | {n.id for n in own if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+        hidden = parameters(fn.args) | names_with(own, ast.Store)
         given = [n for c in own if isinstance(c, ast.Call) for v in (*c.args, *(k.value for k in c.keywords)) for n in ast.walk(v)]
-        handed = {n.id for n in given if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)}
+        handed = names_with(given, ast.Load)
         lambdas = {n for n in given if isinstance(n, ast.Lambda)}
         inside = {n for f in own if f is not fn and (f in lambdas or isinstance(f, FUNCTION) and f.name in handed) for n in ast.walk(f)}
         out = []
         for node in (n for n in own if isinstance(n, ast.Call)):
-            f, word = node.func, None
-            if isinstance(f, ast.Attribute) and f.attr == "sleep" and isinstance(f.value, ast.Name) and f.value.id in modules:
-                word = f.value.id
-            elif isinstance(f, ast.Name) and f.id in calls:
-                word = f.id
+            module = name_of(node.func.value) if attr_of(node.func) == "sleep" else None
+            word = module if module in modules else name_of(node.func) if name_of(node.func) in calls else None
             if word:
-                zero = bool(node.args) and isinstance(node.args[0], ast.Constant) and not node.args[0].value
+                zero = any(constant_of(first) is not first and not first.value for first in node.args[:1])
                 out.append({"line": node.lineno, "zero": zero, "shadowed": word in hidden, "injected": node in inside})
         return out
 
@@ -557,10 +571,9 @@ def facts(path: str, text: str) -> dict:
         m = Module(tree, text)
         for column in ("harness", "logs", "exported", "functions", "classes", "tops", "methods", "attrs", "dead", "handlers", "imports", "dicts", "tests"):
             row[column] = getattr(m, column)()
-        row["names"] = sorted({n.id for n in m.nodes if isinstance(n, ast.Name)})
-        row["loads"] = sorted({n.id for n in m.nodes if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)})
-        row["attributes"] = sorted({n.attr for n in m.nodes if isinstance(n, ast.Attribute)})
-        row["prints"] = [n.lineno for n in m.nodes if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id == "print"]
+        row["names"], row["loads"] = sorted(names_with(m.nodes, object)), sorted(names_with(m.nodes, ast.Load))
+        row["attributes"] = sorted({a for a in map(attr_of, m.nodes) if a})
+        row["prints"] = [n.lineno for n in m.nodes if isinstance(n, ast.Call) and name_of(n.func) == "print"]
     except RecursionError:
         row = {"path": path, "error": None}
     row["comments"], row["ignores"] = read_comments(text)

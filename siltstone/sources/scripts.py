@@ -91,7 +91,7 @@ def privates(lines: list[str], text: str, ext: str) -> list[dict]:
     return out
 
 
-# ------------------------------------------------------------------ test blocks of scripts
+# == test blocks of scripts ==
 
 _QUOTE = "[\"'`]"
 _INSIDE = "[^\"'`]"
