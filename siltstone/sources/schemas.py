@@ -19,6 +19,8 @@ Found = Iterator[tuple[str, set[str]]]
 _OPENING, _CLOSING = "([{", ")]}"
 _MASKED = re.compile(r"""(?://|\#)[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?P<text>(?P<q>\"\"\"|'''|"|')(?:\\[\s\S]?|(?!(?P=q))[^\\])*(?:(?P=q)|\Z))""")
 _VISIBLE = re.compile("[^\n]")
+#: Pieces of the heads and fields: the start of a line, a name, a name in small letters, what opens a block.
+_AT, _NAME, _SMALL, _OPENS = r"^\s*", r"([A-Za-z_]\w*)", r"([a-z][a-z0-9_]*)", r"\s+(\w+)[^{]*\{"
 
 
 def without_comments(text: str, texts: bool = True) -> str:
@@ -40,8 +42,7 @@ def named_blocks(text: str, head: str, keep_texts: bool = False) -> Iterator[tup
     code = without_comments(text)
     body = without_comments(text, texts=False) if keep_texts else code
     for m in re.finditer(head, code, re.M):
-        end = closing(code, m.end())
-        if end is not None:
+        if end := closing(code, m.end()):
             yield m[1], body[m.end() : end - 1]
 
 
@@ -49,8 +50,7 @@ def hollow(text: str, head: str) -> str:
     """The text with the blocks that ``head`` opens as blanks."""
     whole = text
     for m in re.finditer(head, whole, re.M):
-        end = closing(whole, m.end())
-        if end is not None:
+        if end := closing(whole, m.end()):
             text = text[: m.start()] + _VISIBLE.sub(" ", text[m.start() : end]) + text[end:]
     return text
 
@@ -66,26 +66,26 @@ def surface(text: str) -> str:
 
 
 def proto(name: str, text: str) -> Found:
-    kinds = r"(?:(?:required|repeated|optional)\s+)?[.\w]+(?:\s*<[^>]*>)?"
-    for message, body in named_blocks(text, r"^\s*message\s+(\w+)\s*\{", True):
-        own = hollow(body, r"^\s*(?:enum|message)\s+\w+[^{]*\{")
-        fields = re.findall(rf"^\s*{kinds}\s+([a-z][a-z0-9_]*)\s*=\s*\d", own, re.M)
-        yield f"{name} {message}", {*fields, *re.findall(r"""\bjson_name\s*=\s*["']([A-Za-z][A-Za-z0-9_]*)["']""", own)}
+    kinds = r"(?:(?:required|repeated|optional)\s+)?[.\w]+" + r"(?:\s*<[^>]*>)?"
+    for message, body in named_blocks(text, _AT + "message" + r"\s+(\w+)\s*\{", True):
+        own = hollow(body, _AT + "(?:enum|message)" + r"\s+\w+[^{]*\{")
+        fields = re.findall(rf"{_AT}{kinds}\s+{_SMALL}\s*=\s*\d", own, re.M)
+        yield f"{name} {message}", {*fields, *re.findall(r"\bjson_name\s*=\s*[\"']([A-Za-z]\w*)[\"']", own, re.A)}
 
 
 def textproto(name: str, text: str) -> Found:
-    yield name, set(re.findall(r"^\s*([a-z][a-z0-9_]*)\s*[{:]", text, re.M))
+    yield name, set(re.findall(_AT + _SMALL + r"\s*[{:]", text, re.M))
 
 
 def thrift(name: str, text: str) -> Found:
-    field = r"^\s*\d+\s*:\s*(?:(?:optional|required)\s+)?[<>, .\w]+?\s+([A-Za-z_]\w*)\s*[,;=]?\s*$"
-    for message, body in named_blocks(text, r"^\s*(?:exception|union|struct)\s+(\w+)\s*\{"):
+    field = _AT + r"\d+\s*:\s*" + r"(?:(?:optional|required)\s+)?" + r"[<>, .\w]+?\s+" + _NAME + r"\s*[,;=]?\s*$"
+    for message, body in named_blocks(text, _AT + r"(?:exception|union|struct)\s+(\w+)\s*\{"):
         yield f"{name} {message}", set(re.findall(field, body, re.M))
 
 
 def graphql(name: str, text: str) -> Found:
-    for message, body in named_blocks(text, r"^\s*(?:interface|input|type)\s+(\w+)[^{]*\{"):
-        yield f"{name} {message}", set(re.findall(r"^\s*([A-Za-z_]\w*)\s*[:(]", surface(body), re.M))
+    for message, body in named_blocks(text, _AT + "(?:interface|input|type)" + _OPENS):
+        yield f"{name} {message}", set(re.findall(_AT + _NAME + r"\s*[:(]", surface(body), re.M))
 
 
 def _every(node: object, label: str) -> Iterator[tuple[object, str]]:
@@ -97,8 +97,10 @@ def _every(node: object, label: str) -> Iterator[tuple[object, str]]:
 
 def avro(name: str, text: str) -> Found:
     for node, _ in _every(json.loads(text), ""):
-        if isinstance(node, dict) and node.get("type") == "record" and isinstance(node.get("fields"), list):
-            yield f"{name} {node.get('name', 'record')}", {f["name"] for f in node["fields"] if isinstance(f, dict) and isinstance(f.get("name"), str)}
+        fields = node.get("fields") if isinstance(node, dict) and node.get("type") == "record" else None
+        if isinstance(fields, list):
+            named = (f.get("name") for f in fields if isinstance(f, dict))
+            yield f"{name} {node.get('name', 'record')}", {n for n in named if isinstance(n, str)}
 
 
 def json_schema(name: str, text: str) -> Found:
@@ -111,14 +113,15 @@ def yaml_schema(name: str, text: str) -> Found:
     """By indentation: the keys one step in from each ``properties:``."""
     rows = [(len(x) - len(x.lstrip()), x.strip(), k) for k, x in enumerate(text.splitlines(), 1) if x.strip() and not x.lstrip().startswith("#")]
     for at, (indent, own, line) in enumerate(rows):
-        if re.fullmatch(r"properties\s*:\s*(?:#.*)?", own):
+        if re.fullmatch(r"properties\s*:" + r"\s*(?:#.*)?", own):
             below = []
             for row in rows[at + 1 :]:
                 if row[0] <= indent:
                     break
                 below.append(row)
-            keys = [re.match(r"""(?:([A-Za-z_][-\w]*)|"([^"]+)"|'([^']+)')\s*:""", r[1]) for r in below if r[0] == below[0][0]]
-            yield f"{name}:{line}", {next(g for g in m.groups() if g is not None) for m in keys if m}
+            forms = [r"([A-Za-z_][-\w]*)\s*:", r'"([^"]+)"\s*:', r"'([^']+)'\s*:"]
+            keys = [re.match(form, r[1]) for r in below if r[0] == below[0][0] for form in forms]
+            yield f"{name}:{line}", {m[1] for m in keys if m}
 
 
 READERS = {".proto": proto, ".textproto": textproto, ".thrift": thrift, ".graphql": graphql, ".graphqls": graphql, ".gql": graphql, ".avsc": avro, ".json": json_schema, ".yaml": yaml_schema, ".yml": yaml_schema}
