@@ -35,8 +35,13 @@ def literals(texts: list[str]) -> str:
     return "[" + ", ".join(map(quoted, texts)) + "]"
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows to plant in. They are few bytes and become much to parse, so all cores get their share of them."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)
+
+
 def files(spark: SparkSession, sf_dir: str, variants: list[Variant], path: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = parts(spark, sf_dir)
     text = F.element_at(F.array(*[F.lit(v[0]) for v in variants]), (F.col("p_partkey") % len(variants) + 1).cast("int"))
     key = F.col("p_partkey").cast("string")
     return part.select(F.regexp_replace(F.lit(path), F.lit("@K@"), key).alias("path"), F.regexp_replace(text, F.lit("@K@"), key).alias("text"))
@@ -278,7 +283,7 @@ SQL["suppression_marks"] = f"SELECT '/r/m' || p_partkey || '.py' AS file, ([{',
 
 def dup_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in threes have a function of one shape: names differ, and the constant is the number of the three."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    part = parts(spark, sf_dir).select(F.col("p_partkey").alias("k"))
     text = F.format_string("@wrap\ndef f%d(a%d, b: int = 2) -> int:\n    \"\"\"Of %d.\"\"\"\n    t%d = a%d + %d\n    for i%d in range(b):\n        t%d += i%d\n    return t%d\n", *["k"] * 5, F.floor(F.col("k") / 3), *["k"] * 4)
     made = part.select(F.format_string("/r/m%09d.py", "k").alias("path"), text.alias("text"))
     return clones.same_shape(parsed(made)).drop("message")
@@ -290,7 +295,7 @@ SQL["dup_functions"] = "WITH k AS (SELECT p_partkey AS k, min(p_partkey) OVER (P
 
 def diverged_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in twos have a long function nearly alike: every name carries the number of the two, and one line differs."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 2).alias("g"))
+    part = parts(spark, sf_dir).select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 2).alias("g"))
     body = "".join(f"    v{n}_@G@ = w{n}_@G@ * u{n + 1}_@G@ + z{n}_@G@\n" for n in range(12))
     text = F.concat(F.lit("def f_@G@(x):\n"), F.lit(body), F.when(F.col("k") % 2 == 0, "    return v1_@G@\n").otherwise("    return max(v2_@G@, v3_@G@)\n"))
     made = part.select(F.format_string("/r/m%09d.py", "k").alias("path"), F.regexp_replace(text, F.lit("@G@"), F.col("g").cast("string")).alias("text"))
@@ -316,7 +321,7 @@ _SCHEMAS = [
 
 def schema_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages of one schema file a part, eight files in turn."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = parts(spark, sf_dir)
     pick = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in _SCHEMAS]), (F.col("p_partkey") % len(_SCHEMAS) + 1).cast("int"))
     made = part.select(F.concat(F.lit("/k"), "p_partkey", pick(0)).alias("path"), pick(1).alias("text"))
     rows = schemas.messages(made, limit=None)
@@ -371,7 +376,7 @@ _SCANNED = [
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = parts(spark, sf_dir)
     pick = lambda k: F.regexp_replace(F.element_at(F.array(*[F.lit(v[k]) for v in _SCANNED]), (F.col("p_partkey") % len(_SCANNED) + 1).cast("int")), F.lit("@K@"), F.col("p_partkey").cast("string"))
     return part.select("p_partkey", pick(0).alias("path"), pick(1).alias("text"))
 
