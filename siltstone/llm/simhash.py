@@ -1,26 +1,25 @@
-"""Near duplicates by SimHash, with a byte-position inverted index and count filtering.
+"""Near duplicates by SimHash: every pair of fingerprints within MAX_DISTANCE bits is found.
 
 A fingerprint is 64 bytes: the SimHash of the distinct words of at least four letters (of four bytes,
 and single signs of Chinese or Japanese). Two texts of
-which one has 5 % of its words changed differ in about a tenth of the bits, so that no byte is
-*guaranteed* to be equal in the worst case; but a byte is untouched with probability 0.43, and
-unrelated texts share one with probability 1/256. The index therefore holds positional bytes three
-by three (a key is a triple of positions and their bytes, 2**24 values each): single bytes would
-give postings that grow with the corpus, and quadratic work. Inside a posting the shared positional
-bytes of each pair are tallied; pairs that reach MIN_MATCHES are verified by Hamming distance.
-
-Exact copies fold into one fingerprint before the index. The index entries of many texts travel
-together, one block for each pair of sender and receiver, as columns of bytes. An entry carries 32 of
-the 512 bits: members of a posting of which none differs from another in SKETCH_BITS or fewer of them
-met by chance and are left out. Postings with the same members are searched once. A posting gives a
-spanning forest of its verified pairs, not every pair, so groups of thousands stay linear; groups are
-then the connected components. A posting beyond HOT members is cut in blocks, which different tasks
-search; the forests' roots are then searched against each other, in rounds.
+which one has 5 % of its words changed differ in about a tenth of the bits. Such a pair need not have any
+byte in common, so the index is no index of bytes: the 512 bits are cut in PARTS parts of WIDTH bits. Of two
+fingerprints within 80 bits one part differs in 80 // 27 = 2 bits or fewer. Moreover, there is a part from
+which on, in a circle, any k parts together differ in k * 80 / 27 bits or fewer: if the parts' surpluses
+over 80 / 27 are summed up around the circle, it is the one after the greatest sum. So candidates are
+looked up by all values within 2 bits of a part, compared by this part and the next two, and the few that
+are left by all bits. No step leaves out a pair within the threshold.
+
+Exact copies fold into one fingerprint before. Fingerprints are dealt to blocks, and one task searches two
+blocks (or one) against each other, in memory. Of the pairs a task finds, those go out that join two
+groups; groups are then the connected components. Within a task, fingerprints of one group and one value
+are looked up as one, so that groups of thousands of near copies do not take quadratic work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,38 +32,17 @@ from .common import cut, fresh, narrow
 WORDS64 = 8
 BYTES = WORDS64 * 8
 MAX_DISTANCE = 80
-#: Pairs at MAX_DISTANCE share 16 bytes on average if their differing bits are spread at random, and 8 or more in all but 1 of 10,000.
-MIN_MATCHES = 8
-#: A pair is compared only if it shares a triple. Of such pairs miss all triples, in 20,000 drawn for each distance:
-#: up to 60 bits none, 65 bits 0.005 %, 70 bits 0.06 %, 75 bits 0.24 %, 80 bits 0.9 % (README).
-N_KEYS = 512
-#: At MAX_DISTANCE 5 of the 32 bits differ on average, and more than this in 1 of 4,000 pairs; of unrelated texts a tenth pass.
-SKETCH_BITS = 12
+#: Equal bytes of a pair besides. As many as any pair within MAX_DISTANCE has, so that none is left out.
+MIN_MATCHES = max(0, BYTES - MAX_DISTANCE)
+PARTS, WIDTH = 27, 19
 LONG_WORD = 4
-ENTRIES_A_PARTITION = 3_000_000
-ROWS_A_PARTITION = 100_000
-#: Members of one posting that one task compares with each other.
-HOT = 50_000
-#: Fingerprints whose entries are made at once.
-BLOCK = 2048
+#: Fingerprints of a block: a task holds two.
+BLOCK = 500_000
+#: Candidates compared at once.
+CHUNK = 1 << 20
 SALTS = [np.uint64(x) for x in np.random.RandomState(5).randint(1, 1 << 62, WORDS64)]
 
 
-def _triples() -> np.ndarray:
-    """N_KEYS triples of positions: rounds of all positions, shuffled, cut in threes."""
-    rng = np.random.RandomState(7)
-    seen: set[tuple[int, ...]] = set()
-    while len(seen) < N_KEYS:
-        order = rng.permutation(BYTES)
-        for k in range(BYTES // 3):
-            if len(seen) < N_KEYS:
-                seen.add(tuple(sorted(order[3 * k : 3 * k + 3])))
-    return np.array(sorted(seen))
-
-
-TRIPLES = _triples()
-
-
 def fingerprints(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n, 64) bytes, and which texts have any word at all."""
     n = len(offs) - 1
@@ -127,210 +105,211 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offs
 
 
-def key_rows(fp: np.ndarray, a: int = 0, b: int = N_KEYS) -> np.ndarray:
-    """(n, b - a) keys: the number of the triple and its three bytes."""
-    out = np.repeat(np.arange(a, b, dtype=np.uint64)[:, None] << np.uint64(24), len(fp), axis=1)
-    for k in range(3):
-        out |= fp[:, TRIPLES[a:b, k]].T.astype(np.uint64) << np.uint64(16 - 8 * k)
-    return out.T
-
-
-def sketches(fp: np.ndarray) -> np.ndarray:
-    """One bit of every second byte."""
-    bits = (fp[:, ::2] >> (np.arange(BYTES // 2) % 8).astype(np.uint8)) & 1
-    return np.packbits(bits, axis=1).view(np.uint32).ravel()
+def _window(wide: np.ndarray, part: int) -> np.ndarray:
+    """64 bits of each fingerprint from the first one of a part on, in a circle."""
+    word, bit = divmod(part * WIDTH, 64)
+    out = wide[:, word] >> np.uint64(bit)
+    return out | wide[:, (word + 1) % WORDS64] << np.uint64(64 - bit) if bit else out
 
 
-def _spread(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (tv.mix(keys) % np.uint64(parts)).astype(np.int32)
-
-
-def _hot_of(fps: DataFrame) -> dict[int, int]:
-    """Keys that about HOT fingerprints or more hold, and in how many blocks their postings are cut.
-
-    Each batch names only the keys that a 500th of its rows hold; their counts add up. So at most 500
-    rows a key position reach the driver, whatever the size of the corpus.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = _fp_array(batch.column("fp"))
-            for i in range(0, N_KEYS, 64):
-                own, n = np.unique(key_rows(fp, i, min(i + 64, N_KEYS)), return_counts=True)
-                often = n >= max(8, len(fp) // 500)
-                yield pa.RecordBatch.from_arrays([pa.array(own[often].view(np.int64)), pa.array(n[often])], ["key", "n"])
+def _bits(part: int, n: int = 1) -> int:
+    """Bits of ``n`` parts from this one on, in a circle: the last part is shorter."""
+    return sum(min(WIDTH, BYTES * 8 - k % PARTS * WIDTH) for k in range(part, part + n))
 
-    rows = fps.select("fp").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
-    return {r["key"]: 1 + 2 * r["n"] // HOT for r in rows.collect()}
 
+def _ones(n: int) -> np.uint64:
+    return np.uint64((1 << n) - 1)
 
-def _salt(ids: np.ndarray, keys: np.ndarray, blocks: np.ndarray, turn: int) -> np.ndarray:
-    """A block of its posting for each member, another one in another posting and in another turn."""
-    return tv.mix(tv.mix(ids.view(np.uint64)) ^ keys ^ np.uint64(turn * 0x9E3779B1)) % blocks
 
+def _flips(bits: int, most: int) -> list[int]:
+    """All numbers of ``bits`` bits of which at most ``most`` are set."""
+    return [sum(1 << b for b in c) for k in range(min(bits, most) + 1) for c in combinations(range(bits), k)]
 
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers as the columns of their bytes: those that are 0 throughout take no room when packed."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
 
+def key_rows(fp: np.ndarray) -> np.ndarray:
+    """(n, keys): for each part and each two of its bits the number of the key and the part's value without the two.
 
-def _whole(data: pa.Buffer, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    What the search looks up, written as keys, for tests: two fingerprints share a key of one column exactly if
+    a part of theirs differs in two bits or fewer, as one does of any pair within MAX_DISTANCE.
+    """
+    wide, out = np.ascontiguousarray(fp).view(np.uint64), []
+    for k in range(PARTS):
+        value = _window(wide, k) & _ones(_bits(k))
+        out += [value & ~np.uint64(1 << x | 1 << y) | np.uint64((len(out) + n) << WIDTH) for n, (x, y) in enumerate(combinations(range(_bits(k)), 2))]
+    return np.stack(out, axis=1)
+
+
+def _each(count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, number) for all numbers below the count of each row, CHUNK at a time."""
+    end = np.cumsum(count)
+    total = int(end[-1]) if len(end) else 0
+    if 0 < total <= CHUNK:
+        row = np.repeat(np.arange(len(count)), count)
+        yield row, np.arange(total) - (end - count)[row]
+        return
+    for t in range(0, total, CHUNK):
+        at = np.arange(t, min(t + CHUNK, total))
+        row = np.searchsorted(end, at, "right")
+        yield row, at - (end - count)[row]
+
+
+class _Groups:
+    """The groups of a task's fingerprints, and the verified pairs that joined them."""
+
+    def __init__(self, wide: np.ndarray, max_distance: int, min_matches: int) -> None:
+        self.wide, self.max_distance, self.min_matches = wide, max_distance, min_matches
+        self.label = np.arange(len(wide))
+        self.pairs: list[np.ndarray] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join the groups of those pairs that meet the threshold."""
+        for i in range(0, len(a), CHUNK // 8):
+            self._add(a[i : i + CHUNK // 8], b[i : i + CHUNK // 8])
+
+    def _add(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = self.label[a] != self.label[b]
+        a, b = a[apart], b[apart]
+        x, y = self.wide[a], self.wide[b]
+        distance = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        near = distance <= self.max_distance
+        if self.min_matches > 0:
+            near &= (x.view(np.uint8) == y.view(np.uint8)).sum(axis=1) >= self.min_matches
+        a, b, distance = a[near], b[near], distance[near]
+        up: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while (over := up.get(k, k)) != k:
+                up[k] = k = up.get(over, over)
+            return k
+
+        joins = np.zeros(len(a), bool)
+        for k, (p, q) in enumerate(zip(self.label[a].tolist(), self.label[b].tolist(), strict=True)):
+            p, q = find(p), find(q)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                joins[k] = True
+        if up:
+            move = np.arange(len(self.label))
+            old = list(up)
+            move[old] = [find(k) for k in old]
+            self.label = move[self.label]
+            self.pairs.append(np.stack([a[joins], b[joins], distance[joins]], axis=1))
+
+
+class _Runs:
+    """Fingerprints in the order of a part's value; those of one value and one group are a run."""
+
+    def __init__(self, rows: np.ndarray, value: np.ndarray, label: np.ndarray, window: np.ndarray) -> None:
+        order = np.argsort(value[rows].astype(np.uint64) << np.uint64(32) | label[rows].astype(np.uint64))
+        self.rows = rows[order]
+        v, g = value[self.rows], label[self.rows]
+        self.start = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (g[1:] != g[:-1]))) if len(v) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.start, len(v)))
+        self.value, self.label = v[self.start], g[self.start]
+        self.first = self.rows[self.start]
+        self.window = window[self.first]
+
+
+def _search_part(groups: _Groups, part: int, left: np.ndarray, right: np.ndarray | None) -> None:
+    """All pairs of a row of ``left`` and one of ``right`` (None: of ``left``) that the part makes candidates."""
+    window = _window(groups.wide, part)
+    value = (window & _ones(_bits(part))).astype(np.uint32)
+    three, most = _ones(_bits(part, 3)), 3 * groups.max_distance // PARTS
+    near = lambda x, y: np.bitwise_count((x ^ y) & three) <= most
+    one = _Runs(left, value, groups.label, window)
+    two = one if right is None else _Runs(right, value, groups.label, window)
+    start = np.append(0, np.cumsum(np.bincount(one.value, minlength=1 << WIDTH)))
+    held = start[1:] > start[:-1]
+    flips = _flips(_bits(part), groups.max_distance // PARTS)
+    for i in range(0, len(two.value), 1 << 16):
+        own = two.value[i : i + (1 << 16)]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for flip in flips:
+            key = own ^ np.uint32(flip)
+            hit = held[key]
+            if right is None:  # each two values once
+                hit &= key >= own
+            hit = np.flatnonzero(hit)
+            low = start[key[hit]]
+            for row, k in _each(start[key[hit] + 1] - low):
+                p, q = low[row] + k, hit[row] + i
+                if right is None and not flip:
+                    once = p < q
+                    p, q = p[once], q[once]
+                several = one.size[p] * two.size[q] > 1
+                if several.any():
+                    u, w = p[several], q[several]
+                    apart = one.label[u] != two.label[w]
+                    u, w = u[apart], w[apart]
+                    for pair, n in _each(one.size[u] * two.size[w]):
+                        a = one.rows[one.start[u[pair]] + n // two.size[w[pair]]]
+                        b = two.rows[two.start[w[pair]] + n % two.size[w[pair]]]
+                        ok = near(window[a], window[b])
+                        groups.add(a[ok], b[ok])
+                    p, q = p[~several], q[~several]
+                ok = near(one.window[p], two.window[q])
+                found.append((one.first[p[ok]], two.first[q[ok]]))
+            if sum(len(f[0]) for f in found) > CHUNK or flip == flips[-1]:
+                if found:
+                    groups.add(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+                found = []
+
+
+def search(fp: np.ndarray, split: int | None, parts: range, max_distance: int, min_matches: int) -> np.ndarray:
+    """Rows (a, b, distance): verified pairs of rows of ``fp`` that join all that the given parts make candidates.
+
+    With ``split`` only rows before it are searched against those from it on.
+    """
+    groups = _Groups(np.ascontiguousarray(fp).view(np.uint64).reshape(-1, WORDS64), max_distance, min_matches)
+    for part in range(0, PARTS, 3):  # neighbours in the order of their bits: joins large groups without looking at all their pairs
+        order = np.argsort(_window(groups.wide, part))
+        groups.add(order[:-1], order[1:])
+    rows = np.arange(len(fp))
+    for part in parts:
+        _search_part(groups, part, rows[:split], None if split is None else rows[split:])
+    out = np.concatenate([np.zeros((0, 3), np.int64), *groups.pairs])
+    # pairs within a block are found where it is searched by itself
+    return out if split is None else out[(out[:, 0] < split) != (out[:, 1] < split)]
 
 
-def _post(parts: int, hot: dict[int, int]):
-    """Blocks (part, keys, ids, sketches) of index entries. Members of a hot posting go to the part of their block."""
-    warm = np.array(sorted(hot), np.int64).view(np.uint64)
-    pieces = np.array([hot[k] for k in sorted(hot)], np.uint64)
+def _deal(blocks: int, turns: int):
+    """Rows (task, block, ids, fps): a batch's fingerprints of one block, for each task that searches it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), BLOCK):
-                part = batch.slice(i, BLOCK)
-                fp = _fp_array(part.column("fp"))
-                keys = key_rows(fp).T.ravel()
-                ids = np.tile(np.asarray(part.column("id")), N_KEYS)
-                bits = np.tile(sketches(fp), N_KEYS)
-                if len(warm):
-                    at = np.minimum(np.searchsorted(warm, keys), len(warm) - 1)
-                    is_hot = warm[at] == keys
-                    block = _salt(ids[is_hot], keys[is_hot], pieces[at[is_hot]], 0)
-                    keys[is_hot] |= (block + np.uint64(1)) << np.uint64(42)
-                to = _spread(keys, parts)
-                order = np.argsort(to.astype(np.uint16) if parts < 1 << 16 else to, kind="stable")
-                keys, ids, bits, to = keys[order], ids[order], bits[order], to[order]
-                starts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-                spans = list(zip(starts, np.append(starts[1:], len(to)), strict=True))
-                columns = [pa.array([_planes(c[a:b]) for a, b in spans], pa.binary()) for c in (keys, ids, bits)]
-                yield pa.RecordBatch.from_arrays([pa.array(to[starts]), *columns], ["part", "keys", "ids", "bits"])
+            ids, fp = np.asarray(batch.column("id")), _fp_array(batch.column("fp"))
+            own = tv.mix(ids.view(np.uint64)) % np.uint64(blocks)
+            for block in np.unique(own).tolist():
+                at = own == block
+                tasks = [(max(block, k) * (max(block, k) + 1) // 2 + min(block, k)) * turns + t for k in range(blocks) for t in range(turns)]
+                n = len(tasks)
+                columns = [pa.array([x] * n, pa.binary()) for x in (ids[at].tobytes(), fp[at].tobytes())]
+                yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int32()), pa.array([block] * n, pa.int32()), *columns], ["task", "block", "ids", "fps"])
 
     return run
 
 
-def _met(bits: np.ndarray) -> np.ndarray:
-    """Which members of a posting have another one whose sketch is near."""
-    near, open_ = np.zeros(len(bits), bool), np.ones(len(bits), bool)
-    for _ in range(16):  # members of a group of copies are near the first of them
-        left = np.flatnonzero(open_)
-        if not len(left):
-            return near
-        own = np.bitwise_count(bits ^ bits[left[0]]) <= SKETCH_BITS
-        open_[left[0]] = False
-        if own.sum() > 1:
-            near |= own
-            open_ &= ~own
-    left = np.flatnonzero(open_)
-    step = max(1, (1 << 22) // len(bits))
-    for i in range(0, len(left), step):
-        near[left[i : i + step]] = (np.bitwise_count(bits[left[i : i + step], None] ^ bits[None, :]) <= SKETCH_BITS).sum(axis=1) > 1
-    return near
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings (set, members): what several entries of one key have in common, and blocks of hot postings.
-
-    ``set`` is a hash of the members, or the key of a block. A key is in one partition only.
-    """
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        for k, v, b in zip(*(batch.column(c) for c in ("keys", "ids", "bits")), strict=True):
-            held.append((_whole(k.as_buffer(), np.uint64), _whole(v.as_buffer(), np.int64), _whole(b.as_buffer(), np.uint32)))
-    if not held:
-        return
-    key, member, bits = (np.concatenate([h[k] for h in held]) for k in range(3))
-    del held
-    order = np.argsort(key)
-    key = key[order]
-    same = np.zeros(len(key) + 1, bool)
-    same[1:-1] = key[1:] == key[:-1]
-    keep = same[:-1] | same[1:] | (key >> np.uint64(42) != 0)
-    key, member, bits = key[keep], member[order[keep]], bits[order[keep]]
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.append(starts, len(key)))
-    block = key[starts] >> np.uint64(42) != 0
-    alive = np.ones(len(key), bool)
-    two = starts[(size == 2) & ~block]  # most postings: all at once
-    far = np.bitwise_count(bits[two] ^ bits[two + 1]) > SKETCH_BITS
-    alive[two[far]] = alive[two[far] + 1] = False
-    for k in np.flatnonzero((size > 2) & ~block):
-        alive[starts[k] : starts[k] + size[k]] = _met(bits[starts[k] : starts[k] + size[k]])
-    key, member = key[alive], member[alive]
-    order = np.lexsort((member, key))
-    key, member = key[order], member[order]
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else starts[:0]
-    size = np.diff(np.append(starts, len(key)))
-    sums = np.add.reduceat(tv.mix(member.view(np.uint64)), starts) if len(key) else key
-    name = np.where(key[starts] >> np.uint64(42) != 0, key[starts], (tv.mix(sums ^ size.astype(np.uint64)) >> np.uint64(1)) | np.uint64(1 << 62))
-    once = np.zeros(len(name), bool)
-    once[np.unique(name, return_index=True)[1]] = True
-    mine = np.repeat(once, size)
-    name, size, member = name[once].view(np.int64), size[once], member[mine]
-    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(member))
-    for i in range(0, len(name), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(name[i : i + 10_000]), lists.slice(i, 10_000)], ["set", "members"])
-
-
-def forest(ids: np.ndarray, fp: np.ndarray, max_distance: int, min_matches: int) -> tuple[list[tuple[int, int, int]], list[int]]:
-    """A spanning forest of the verified pairs of one posting, as (id, id, distance), and its roots."""
-    order = np.argsort(ids, kind="stable")
-    ids, fp = ids[order], fp[order]
-    wide = np.ascontiguousarray(fp).view(np.uint64)
-    left, edges = np.arange(len(ids)), []
-    queue: list[int] = []
-    roots: list[int] = []
-    while len(left):
-        if not queue:
-            queue, left = [int(left[0])], left[1:]
-            roots.append(int(ids[queue[0]]))
-            continue
-        at = queue.pop()
-        if not len(left):
-            break
-        tally = (fp[left] == fp[at]).sum(axis=1)
-        distance = np.bitwise_count(wide[left] ^ wide[at]).sum(axis=1)
-        near = (tally >= min_matches) & (distance <= max_distance)
-        for k in np.flatnonzero(near):
-            edges.append((int(ids[at]), int(ids[left[k]]), int(distance[k])))
-        queue.extend(left[near].tolist())
-        left = left[~near]
-    return edges, roots
-
-
-def _verify(max_distance: int, min_matches: int):
+def _search_task(turns: int, max_distance: int, min_matches: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        key = np.concatenate([np.asarray(b.column("key")) for b in held])
-        ids = np.concatenate([np.asarray(b.column("id")) for b in held])
-        fp = np.concatenate([_fp_array(b.column("fp")) for b in held])
-        del held
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        starts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-        size = np.diff(starts)
-        edges: set[tuple[int, int, int]] = set()
-        block = key[starts[:-1]] < 1 << 62  # of a hot posting
-        two = starts[:-1][(size == 2) & ~block]
-        if len(two):  # most postings: all at once
-            a, b = order[two], order[two + 1]
-            tally = (fp[a] == fp[b]).sum(axis=1)
-            distance = np.bitwise_count(np.ascontiguousarray(fp[a]).view(np.uint64) ^ np.ascontiguousarray(fp[b]).view(np.uint64)).sum(axis=1)
-            for k in np.flatnonzero((tally >= min_matches) & (distance <= max_distance)):
-                x, y = int(ids[a[k]]), int(ids[b[k]])
-                edges.add((min(x, y), max(x, y), int(distance[k])))
-        roots: list[tuple[int, int]] = []
-        for k in np.flatnonzero((size > 2) | block):
-            own = order[starts[k] : starts[k + 1]]
-            found, tops = forest(ids[own], fp[own], max_distance, min_matches)
-            edges.update((min(x, y), max(x, y), d) for x, y, d in found)
-            if block[k]:
-                roots += [(int(key[starts[k]]), r) for r in tops]
-        rows = np.array(sorted(edges), np.int64).reshape(-1, 3)
-        tops = np.array(roots, np.int64).reshape(-1, 2)
-        distance = pa.array(np.append(rows[:, 2], np.zeros(len(tops), np.int64)), mask=np.arange(len(rows) + len(tops)) >= len(rows))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(rows[:, 0], tops[:, 0])), pa.array(np.append(rows[:, 1], tops[:, 1])), distance], ["a", "b", "distance"])
+        held: dict[int, dict[int, list[tuple[np.ndarray, np.ndarray]]]] = {}
+        for batch in batches:
+            for task, block, i, f in zip(*(batch.column(c) for c in ("task", "block", "ids", "fps")), strict=True):
+                ids, fp = np.frombuffer(i.as_buffer(), np.int64).copy(), np.frombuffer(f.as_buffer(), np.uint8).reshape(-1, BYTES).copy()
+                held.setdefault(task.as_py(), {}).setdefault(block.as_py(), []).append((ids, fp))
+        for task in sorted(held):
+            blocks = held.pop(task)
+            # a task of two blocks of which one is empty has nothing to search
+            pair = task // turns
+            high = int((np.sqrt(8 * pair + 1) - 1) // 2)
+            if len(blocks) == 1 and pair != high * (high + 1) // 2 + high:
+                continue
+            pieces = [x for b in sorted(blocks) for x in blocks[b]]
+            split = sum(len(x[0]) for x in blocks[min(blocks)]) if len(blocks) > 1 else None
+            ids, fp = (np.concatenate([x[k] for x in pieces]) for k in range(2))
+            del blocks, pieces
+            out = search(fp, split, range(task % turns, PARTS, turns), max_distance, min_matches)
+            a, b = ids[out[:, 0]], ids[out[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(out[:, 2])], ["a", "b", "distance"])
 
     return run
 
@@ -357,56 +336,21 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _searched(shared: DataFrame, reps: DataFrame, max_distance: int, min_matches: int) -> DataFrame:
-    """Verified pairs (a, b, distance) of postings (key, id), and (key, root, null) of the blocks of hot postings."""
-    parts = max(8, -(-shared.count() // ROWS_A_PARTITION))
-    near = shared.join(reps.select("id", "fp"), "id").select("key", "id", "fp").repartition(parts, "key")
-    return near.mapInArrow(_verify(max_distance, min_matches), "a long, b long, distance long")
-
-
 def pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, min_matches: int = MIN_MATCHES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fingerprints, (id, rep) of exact copies of a fingerprint, and verified pairs (a, b, distance) of reps.
 
-    Roots of the blocks of a hot posting are cut in blocks again, by another hash, and searched, until
-    one block is left or a round takes away less than a tenth of them. Pairs across such last blocks
-    are left to the other keys that the two share, where their blocks are other ones.
+    The pairs join whatever pairs of reps meet the threshold: two reps are connected by them exactly if they
+    are by all such pairs. The parts of few blocks are searched in several tasks.
     """
     fps = cut(fingerprint_table(docs, id_col, text_col))
     reps = cut(fps.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     copies = fps.join(reps.where("n > 1").select("fp", F.col("id").alias("rep")), "fp").where("id <> rep").select("id", "rep")
-    n = reps.count()
-    hot = _hot_of(reps) if n > HOT else {}
-    parts = max(8, -(-n * N_KEYS // ENTRIES_A_PARTITION))
-    entries = reps.select("fp", "id").mapInArrow(_post(parts, hot), "part int, keys binary, ids binary, bits binary")
-    postings = entries.repartitionById(parts, F.col("part")).mapInArrow(_shared, "set long, members array<long>")
-    small = postings.where(F.col("set") >= 1 << 62).groupBy("set").agg(F.first("members").alias("members")) if not hot else None
-    if hot:  # blocks are of one partition each: only the other postings can repeat
-        postings = cut(postings)
-        small = postings.where(F.col("set") >= 1 << 62).groupBy("set").agg(F.first("members").alias("members")).unionByName(postings.where(F.col("set") < 1 << 62))
-    shared = cut(small.select(F.col("set").alias("key"), F.explode("members").alias("id")))
-    near = _searched(shared, reps, max_distance, min_matches)
-    if not hot:
-        return fps, copies, near.groupBy("a", "b").agg(F.min("distance").alias("distance"))
-    found, before, turn = [], None, 0
-    while True:
-        turn += 1
-        near = cut(near)
-        found.append(near.where("distance is not null"))
-        roots = near.where("distance is null").select(F.col("a").bitwiseAND(F.lit((1 << 42) - 1)).alias("key"), F.col("b").alias("id"))
-        left = roots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        rows, most = left.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-        if not rows or before is not None and rows > 0.9 * before:
-            break
-        before = rows
-        block = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.ceil(F.col("n") / HOT)) + 1
-        near = _searched(roots.join(left, "key").select(F.col("key").bitwiseOR(F.shiftleft(block, 42)).alias("key"), "id"), reps, max_distance, min_matches)
-        if most <= HOT:
-            found.append(near.where("distance is not null"))
-            break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return fps, copies, out.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    blocks = max(1, -(-reps.count() // BLOCK))
+    both = blocks * (blocks + 1) // 2
+    turns = next(t for t in (1, 3, 9) if t * both >= 24 or t == 9)
+    dealt = reps.select("fp", "id").mapInArrow(_deal(blocks, turns), "task int, block int, ids binary, fps binary")
+    near = dealt.repartitionById(both * turns, F.col("task")).mapInArrow(_search_task(turns, max_distance, min_matches), "a long, b long, distance long")
+    return fps, copies, near.distinct()
 
 
 def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, min_matches: int = MIN_MATCHES) -> DataFrame:

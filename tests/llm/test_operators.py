@@ -98,6 +98,46 @@ def test_pairs_at_the_threshold_share_a_key():
     assert met.mean() > 0.985
 
 
+def flipped(rng, fp, bits):
+    """Copies of which ``bits`` bits differ: of every second one first one bit in each byte, so that no byte is equal."""
+    n, at = len(fp), rng.random((len(fp), simhash.BYTES * 8))
+    at[np.arange(0, n, 2)[:, None], np.arange(simhash.BYTES) * 8 + rng.randint(0, 8, (-(-n // 2), simhash.BYTES))] -= 1
+    flips = np.zeros(at.shape, np.uint8)
+    np.put_along_axis(flips, np.argsort(at, axis=1)[:, :bits], 1, axis=1)
+    return fp ^ np.packbits(flips, axis=1)
+
+
+@pytest.mark.parametrize("block", [1000, 150])
+def test_no_pair_within_the_threshold_is_left_out(spark, monkeypatch, block):
+    """Pairs at the threshold, half of them without an equal byte, and at one bit more, against all distances."""
+    rng = np.random.RandomState(5)
+    base = rng.randint(0, 256, (300, simhash.BYTES)).astype(np.uint8)
+    fp = np.concatenate([base, flipped(rng, base[:200], simhash.MAX_DISTANCE), flipped(rng, base[200:], simhash.MAX_DISTANCE + 1)])
+    apart = np.unpackbits(fp[:, None] ^ fp[None, :], axis=2).sum(axis=2, dtype=int)
+    want = sorted((int(b), int(a)) for a, b in zip(*np.nonzero(np.triu(apart <= simhash.MAX_DISTANCE, 1)), strict=True))
+    assert len(want) == 200
+    planted = spark.createDataFrame([(k, bytearray(f.tobytes())) for k, f in enumerate(fp)], "id long, fp binary")
+    monkeypatch.setattr(simhash, "fingerprint_table", lambda *_: planted)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    assert sorted(tuple(r) for r in simhash.duplicates(planted).collect()) == want
+
+
+def test_large_groups_hold_together(spark, monkeypatch):
+    """Two groups of near copies, most of which reach each other by several steps only, in several blocks."""
+    rng = np.random.RandomState(6)
+    flips = rng.random((2, 900, simhash.BYTES * 8)) < 0.115
+    fp = np.concatenate([np.packbits(f, axis=1) ^ c for f, c in zip(flips, rng.randint(0, 256, (2, 1, simhash.BYTES)).astype(np.uint8), strict=True)])
+    apart = np.stack([np.bitwise_count(fp.view(np.uint64) ^ f.view(np.uint64)).sum(axis=1) for f in fp])
+    root, before = np.arange(len(fp)), None
+    while before is None or (root != before).any():
+        before, root = root, np.where(apart <= simhash.MAX_DISTANCE, root[None, :], len(fp)).min(axis=1)
+    assert len(set(root)) > 2
+    planted = spark.createDataFrame([(k, bytearray(f.tobytes())) for k, f in enumerate(fp)], "id long, fp binary")
+    monkeypatch.setattr(simhash, "fingerprint_table", lambda *_: planted)
+    monkeypatch.setattr(simhash, "BLOCK", 700)
+    assert {r[0]: r[1] for r in simhash.duplicates(planted).collect()} == {k: r for k, r in enumerate(root.tolist()) if k != r}
+
+
 def test_planted_copies(spark, plain):
     rng = np.random.RandomState(3)
     base = [(i, t) for i, t in plain if t and len(t.split()) > 60][:40]
