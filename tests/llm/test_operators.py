@@ -138,6 +138,22 @@ def test_large_groups_hold_together(spark, monkeypatch):
     assert {r[0]: r[1] for r in simhash.duplicates(planted).collect()} == {k: r for k, r in enumerate(root.tolist()) if k != r}
 
 
+def test_pipeline_drops_every_near_copy(spark, sf):
+    """The stage of the pipeline on texts and copies with some changed words, of which the pairs at the threshold are taken."""
+    rng = np.random.RandomState(8)
+    words = rng.randint(10**6, 10**7, (6000, 120))
+    changed = np.where(rng.random(words.shape) < 0.11, rng.randint(10**6, 10**7, words.shape), words)
+    texts = [" ".join(map(str, w)) for w in (*words, *changed)]
+    fp, _ = simhash.fingerprints(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+    apart = np.bitwise_count(fp[: len(words)] ^ fp[len(words) :]).sum(axis=1)
+    pairs = np.flatnonzero((apart > simhash.MAX_DISTANCE - 3) & (apart <= simhash.MAX_DISTANCE)).tolist()
+    assert len(pairs) > 500
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    rows = [(k, texts[k]) for k in pairs] + [(k + len(words), texts[k + len(words)]) for k in pairs]
+    left = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert {r["doc_id"] for r in left.collect()} == set(pairs)
+
+
 def test_planted_copies(spark, plain):
     rng = np.random.RandomState(3)
     base = [(i, t) for i, t in plain if t and len(t.split()) > 60][:40]
