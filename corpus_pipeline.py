@@ -22,7 +22,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least id; texts without a word and null ids stay."""
+    """One document of each group of near duplicates, the one of least id, or one without an id; texts without a word stay."""
     return simhash.keep_first(docs)
 
 

@@ -19,11 +19,11 @@ are looked up as one, so that groups of thousands of near copies do not take qua
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -353,6 +353,12 @@ def pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     return fps, copies, near.distinct()
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, max_distance: int = MAX_DISTANCE, min_matches: int = MIN_MATCHES) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints, and (id, root) of every document but the least of its group."""
+    fps, copies, near = pairs(docs, id_col=id_col, text_col=text_col, max_distance=max_distance, min_matches=min_matches)
+    return fps, components(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")).unionByName(near.select("a", "b")))
+
+
 def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, min_matches: int = MIN_MATCHES) -> DataFrame:
     """One row for each document to drop: its id and ``duplicate_of``, the least id of its group.
 
@@ -361,25 +367,52 @@ def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ``keep_first`` for the rows themselves. A bit that as many words set as not is 0. Extra columns are
     not read. An empty table gives no rows.
     """
-    _, copies, near = pairs(docs, id_col=id_col, text_col=text_col, max_distance=max_distance, min_matches=min_matches)
-    roots = components(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")).unionByName(near.select("a", "b")))
+    _, roots = _groups(docs, id_col, text_col, max_distance, min_matches)
     return roots.select(F.col("id").alias(id_col), F.col("root").alias("duplicate_of"))
 
 
+def _name(text: Column, seed: int) -> Column:
+    """What stands for the id of a row without one: rows of one text share it."""
+    return F.xxhash64(F.lit(seed), text)
+
+
+def _seed(rows: DataFrame) -> int:
+    """The first seed with which no two texts of the rows (id, text) without an id share a name and no name is an id."""
+    ids = rows.where("id is not null").select(F.col("id").cast("long").alias("name"))
+    other = F.xxhash64("text")
+    for seed in count():
+        names = cut(rows.where("id is null").groupBy(_name(F.col("text"), seed).alias("name")).agg((F.min(other) != F.max(other)).alias("shared")))
+        if names.where("shared").isEmpty() and names.join(ids, "name", "left_semi").isEmpty():
+            return seed
+
+
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the duplicates: of each group the row with the least id stays.
 
-    Of rows that repeat an id one stays, the one whose values sort first. Rows without an id stay, and
-    so do texts without a word. Columns of any name stay. An empty table stays empty.
+    Of rows that repeat an id one stays, the one whose values sort first. Rows without an id are grouped
+    like all others: one stays only of a group without any id, the one whose text has the least hash (of
+    rows of one text the one whose values sort first). Texts without a word stay, unless they repeat an
+    id. Columns of any name stay. An empty table stays empty.
     """
-    gone, again, key, row = (fresh(docs, n) for n in ("__drop", "__twice", "__key", "__row"))
-    own = F.col(f"`{id_col}`")
-    drop = cut(duplicates(docs, id_col=id_col, text_col=text_col).select(F.col(id_col).alias(gone)))
-    twice = cut(docs.select(own.alias(again)).where(F.col(again).isNotNull()).groupBy(again).count().where("count > 1").select(again))
-    left = docs.join(drop, own == F.col(gone), "left_anti")
-    if twice.isEmpty():
-        return left
-    single = left.join(twice, own == F.col(again), "left_anti")
-    several = left.join(twice, own == F.col(again), "left_semi")
-    one = several.groupBy(own.alias(key)).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in several.columns])).alias(row)).select(f"{row}.*")
-    return single.unionByName(one)
+    columns, own = docs.columns, F.col(f"`{id_col}`")
+    gone, again, key, row, name = (fresh(docs, n) for n in ("__drop", "__twice", "__key", "__row", "__name"))
+    twice = cut(docs.select(own.alias(again)).groupBy(again).count().where(f"count > 1 or {again} is null").select(again))
+    if twice.where(f"{again} is null").isEmpty():
+        drop = duplicates(docs, id_col=id_col, text_col=text_col).select(F.col(id_col).alias(gone))
+    else:
+        seed = _seed(narrow(docs, {"id": id_col, "text": text_col}))
+        docs = docs.withColumn(name, F.coalesce(own.cast("long"), _name(F.col(f"`{text_col}`"), seed)))
+        fps, roots = _groups(docs, name, text_col)
+        names = cut(docs.where(own.isNull()).groupBy(F.col(name).alias("id")).count().join(fps.select("id"), "id", "left_semi"))
+        members = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()).join(names.select("id", F.lit(1).alias("last")), "id", "left")
+        first = members.groupBy("root").agg(F.min(F.struct(F.coalesce("last", F.lit(0)), "id"))["id"].alias("first"))
+        drop = members.join(first, "root").where("id <> first").select(F.col("id").alias(gone))
+        twice = cut(twice.where(f"{again} is not null").select(F.col(again).cast("long")).union(names.where("count > 1").select("id")).toDF(again))
+        own = F.col(name)
+    left = docs.join(cut(drop), own == F.col(gone), "left_anti")
+    if not twice.isEmpty():
+        single = left.join(twice, own == F.col(again), "left_anti")
+        several = left.join(twice, own == F.col(again), "left_semi")
+        one = several.groupBy(own.alias(key)).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in several.columns])).alias(row)).select(f"{row}.*")
+        left = single.unionByName(one)
+    return left.select(*[F.col(f"`{c}`") for c in columns])

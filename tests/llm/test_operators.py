@@ -154,6 +154,23 @@ def test_pipeline_drops_every_near_copy(spark, sf):
     assert {r["doc_id"] for r in left.collect()} == set(pairs)
 
 
+def test_pipeline_drops_near_copies_without_an_id(spark, sf):
+    """Rows without an id go where their group has an id, else one of them stays; an id may be the hash of such a text."""
+    rng = np.random.RandomState(12)
+    a, b, c, d, e = (" ".join(map(str, rng.randint(10**6, 10**7, 200))) for _ in range(5))
+    near = lambda t, k: " ".join(str(k) if n % 40 == k % 40 else w for n, w in enumerate(t.split()))
+    taken = spark.range(1).select(F.xxhash64(F.lit(0), F.lit(b))).first()[0]
+    texts = [(1, a), (None, a), (None, near(a, 10001)), (None, b), (None, b), (None, near(b, 10002)), (taken, c), (4, near(c, 10003)), (None, d), (2**63 - 1, near(e, 10004)), (None, e), (-(2**63), near(e, 10005))]
+    texts += [(None, "?!"), (None, "?!"), (None, None), (None, None), (None, "")]
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    rows = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, n long")
+    left = stage(spark, rows, sf)
+    assert left.columns == rows.columns
+    kept = sorted(r["n"] for r in left.collect())
+    assert [k for k in kept if k not in (3, 5)] == [0, 6 if taken < 4 else 7, 8, 11, 12, 13, 14, 15, 16]
+    assert len([k for k in kept if k in (3, 5)]) == 1
+
+
 def test_planted_copies(spark, plain):
     rng = np.random.RandomState(3)
     base = [(i, t) for i, t in plain if t and len(t.split()) > 60][:40]
