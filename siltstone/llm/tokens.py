@@ -7,12 +7,14 @@ Two deterministic transducers in cascade, both with counts on their transitions:
    word begins. A slice of text is cut in chunks of equal length; every chunk is run from every state
    at once, which gives its state map; the maps compose by a parallel prefix scan, and from the true
    start states the word beginnings follow.
-2. *Tokens.* The BPE merges as a transducer over bytes, determinised on the fly: the state after a
-   prefix of a word is its longest suffix that begins some token, with the last token and the relative
-   count at each place inside that suffix. A transition carries the change of the token count. It
-   rests on the fact that a sequence of tokens is the BPE encoding of its text if and only if each
-   two neighbours are that of theirs, so that the last token of each prefix is determined by the
-   earlier ones.
+2. *Tokens.* The BPE merges as a transducer over bytes: the state after a prefix of a word is its
+   longest suffix that begins some token, with the last token and the count at each place inside that
+   suffix. A transition carries the change of the token count. It rests on the fact that a sequence of
+   tokens is the BPE encoding of its text if and only if each two neighbours are that of theirs, so
+   that the last token of each prefix is determined by the earlier ones. Words of up to SHORT bytes run
+   together, a byte of each at a time, with suffixes, tokens and counts in arrays; there are too many
+   new ones among them for transitions to be met again. Longer words run one by one, determinised on
+   the fly, so that their length costs one look-up a byte where transitions repeat.
 
 Each distinct word of a slice runs through the second transducer once.
 """
@@ -35,6 +37,8 @@ LETTER, DIGIT, SIGN, APOS1, APOS2, LEAD, SPACE, GAP = range(8)
 START, IN_LETTERS, IN_DIGITS, IN_SIGNS, IN_SPACE, AFTER_LEAD, ONE_MORE, TWO_MORE = range(8)
 #: Words and states kept per worker; beyond, either starts anew (the result is the same).
 KNOWN_WORDS, KNOWN_STATES = 300_000, 60_000
+#: Bytes of the longest word that runs in arrays, and how many words do so at once.
+SHORT, TOGETHER = 64, 1 << 15
 
 
 def _word_transducer() -> np.ndarray:
@@ -219,20 +223,118 @@ class TokenTransducer:
         return total
 
 
-_made: dict[str, tuple[TokenTransducer, dict[int, int]]] = {}
-
-
-def load(path: str) -> tuple[TokenTransducer, dict[int, int]]:
-    """The transducer of a vocabulary file (base64 token and rank a line) and the known words; once a worker."""
+class TokenArrays:
+    """The same transducer for many words at once: the suffixes as an automaton over all tokens, pairs of tokens judged in arrays."""
+
+    NEVER = 1 << 60
+
+    def __init__(self, transducer: TokenTransducer):
+        ranks = transducer.ranks
+        parts = {token: transducer.merges(token) for token in ranks}
+        tokens = [token for token, made in parts.items() if len(token) == 1 or len(made) == 2]  # others never come about
+        ids = {token: k for k, token in enumerate(tokens)}
+        self.size = np.array([len(token) for token in tokens], np.int32)
+        self.born = np.array([ranks[token] if len(token) > 1 else -1 for token in tokens], np.int64)
+        self.head, self.tail = (np.array([ids[parts[token][side]] for token in tokens], np.int64) for side in (0, -1))
+        joined = [(ids[a], ids[b], rank) for token, rank in ranks.items() for k in range(1, len(token)) if (a := token[:k]) in ids and (b := token[k:]) in ids]
+        first, second, rank = np.array(joined, np.int64).reshape(-1, 3).T
+        keys = first << 32 | second
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], rank[order]
+        self.seen = np.zeros(1 << 22, bool)  # by a hash of the pair: False where no token is made of it
+        self.seen[self.slot(first, second)] = True
+        self.suffixes(tokens, ids)
+
+    @staticmethod
+    def slot(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return (first * 0x9E3779B1 + second * 0x85EBCA77) >> 11 & (1 << 22) - 1
+
+    def suffixes(self, tokens: list[bytes], ids: dict[bytes, int]) -> None:
+        """The state after each byte (its longest suffix that begins a token), the longest token that ends a state, and the next shorter one."""
+        names = sorted({token[:k] for token in tokens for k in range(len(token) + 1)} | {b""}, key=len)
+        number = {name: k for k, name in enumerate(names)}
+        length = np.array([len(name) for name in names])
+        own = np.array([ids.get(name, -1) for name in names], np.int32)
+        parent = np.array([number[name[:-1]] for name in names])
+        byte = np.array([name[-1] if name else 0 for name in names])
+        back = np.zeros(len(names), np.int64)  # the longest proper suffix that is a state
+        self.next = np.zeros((len(names), 256), np.int32)
+        self.longest = own.copy()
+        for size in range(1, length[-1] + 1):
+            at = np.arange(*np.searchsorted(length, [size, size + 1]))
+            if size > 1:
+                back[at] = self.next[back[parent[at]], byte[at]]
+            self.next[parent[at], byte[at]] = at
+            self.next[at] = self.next[back[at]]
+            self.longest[at] = np.where(own[at] < 0, self.longest[back[at]], own[at])
+        self.shorter = self.longest[back[np.array([number[token] for token in tokens], np.int64)]]
+
+    def stable(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """TokenTransducer.stable of each pair, from the last merge back to the bytes: at each time the parts at the border must not merge before the next change."""
+        good = np.ones(len(first), bool)
+        at = np.arange(len(first))
+        limit = np.full(len(first), self.NEVER)
+        while len(at):
+            open_ = np.ones(len(at), bool)
+            met = np.flatnonzero(self.seen[self.slot(first, second)])
+            if len(met):
+                key = first[met] << 32 | second[met]
+                found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                bad = met[(self.keys[found] == key) & (self.ranks[found] < limit[met])]
+                good[at[bad]] = False
+                open_[bad] = False
+            born, born2 = self.born[first], self.born[second]
+            open_ &= np.maximum(born, born2) >= 0
+            at, first, second, born, born2 = at[open_], first[open_], second[open_], born[open_], born2[open_]
+            left = born >= born2  # a merge of the same rank comes first on the left, but both are over before any other
+            limit = np.where(left, born, born2 + 1)
+            first, second = np.where(left, self.tail[first], first), np.where(born2 >= born, self.head[second], second)
+        return good
+
+    def counts(self, raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Tokens of each word raw[s:e]; none is empty."""
+        out = np.empty(len(s), np.int64)
+        order = np.argsort(s - e, kind="stable")  # the longest first: those not yet at their end are the first ones
+        for some in (order[k : k + TOGETHER] for k in range(0, len(s), TOGETHER)):
+            begin, size = s[some], (e - s)[some]
+            longest = int(size[0])
+            last = np.zeros((longest + 1, len(some)), np.int64)
+            count = np.zeros((longest + 1, len(some)), np.int64)
+            state = np.zeros(len(some), np.int32)
+            for place in range(1, longest + 1):
+                n = int(np.searchsorted(-size, -place, "right"))
+                state = self.next[state[:n], raw[begin[:n] + place - 1]]
+                word, token = np.arange(n), self.longest[state]
+                while len(word):
+                    if token.min() < 0:
+                        raise ValueError("the vocabulary lacks a byte")
+                    at = place - self.size[token]
+                    good = at == 0
+                    inner = np.flatnonzero(~good)
+                    good[inner] = self.stable(last[at[inner], word[inner]], token[inner].astype(np.int64))
+                    done = word[good]
+                    last[place, done] = token[good]
+                    count[place, done] = count[at[good], done] + 1
+                    word, token = word[~good], self.shorter[token[~good]]
+            out[some] = count[size, np.arange(len(some))]
+        return out
+
+
+_made: dict[str, tuple[TokenTransducer, TokenArrays, dict[int, int]]] = {}
+
+
+def load(path: str) -> tuple[TokenTransducer, TokenArrays, dict[int, int]]:
+    """The transducer of a vocabulary file (base64 token and rank a line) in both forms and the known words; once a worker."""
     if path not in _made:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
         _made.clear()
-        _made[path] = (TokenTransducer(ranks), {})
+        transducer = TokenTransducer(ranks)
+        _made[path] = (transducer, TokenArrays(transducer), {})
     return _made[path]
 
 
-def count_slice(transducer: TokenTransducer, known: dict[int, int], raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def count_slice(transducer: TokenTransducer, arrays: TokenArrays, known: dict[int, int], raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and words of each text."""
     n = len(offs) - 1
     if not len(raw):
@@ -252,13 +354,15 @@ def count_slice(transducer: TokenTransducer, known: dict[int, int], raw: np.ndar
         known.clear()
     if len(transducer.states) > KNOWN_STATES:
         transducer.forget()
-    tokens = np.empty(len(distinct), np.int64)
-    text = raw.tobytes()
-    for k, (word, at) in enumerate(zip(distinct.tolist(), where.tolist(), strict=True)):
-        got = known.get(word)
-        if got is None:
-            got = known[word] = transducer.count(text[s[at] : e[at]])
-        tokens[k] = got
+    have = list(map(known.get, distinct.tolist()))
+    new = np.array([k for k, got in enumerate(have) if got is None], np.int64)
+    tokens = np.array([got or 0 for got in have], np.int64)
+    begin, end = s[where[new]], e[where[new]]
+    short = end - begin <= SHORT
+    tokens[new[short]] = arrays.counts(raw, begin[short], end[short])
+    for k, a, b in zip(new[~short].tolist(), begin[~short].tolist(), end[~short].tolist(), strict=True):
+        tokens[k] = transducer.count(raw[a:b].tobytes())
+    known.update(zip(distinct[new].tolist(), tokens[new].tolist(), strict=True))
     doc = np.searchsorted(offs, s, "right") - 1
     return np.bincount(doc, weights=tokens[back], minlength=n).astype(np.int64), np.bincount(doc, minlength=n)
 
@@ -272,11 +376,11 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer, known = load(vocabulary)
+        transducer, arrays, known = load(vocabulary)
         for batch in batches:
             tokens, words, size = (np.zeros(len(batch), np.int64) for _ in range(3))
             for i, j, raw, offs in tv.slices(batch.column("text")):
-                tokens[i:j], words[i:j] = count_slice(transducer, known, raw, offs)
+                tokens[i:j], words[i:j] = count_slice(transducer, arrays, known, raw, offs)
                 size[i:j] = np.diff(offs)
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), *map(pa.array, (tokens, words, size))], ["id", "n_tokens", "n_words", "n_bytes"])
 

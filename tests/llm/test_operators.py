@@ -1,5 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy."""
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -205,6 +207,41 @@ def test_tokens_of_any_text(spark, encoding, texts):
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(encoding.encode_ordinary(t)) for i, t in enumerate(texts)}
 
 
+def _counted(texts):
+    data = [t.encode() for t in texts]
+    offs = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    return tokens.count_slice(*tokens.load(VOCABULARY), np.frombuffer(b"".join(data), np.uint8), offs)[0].tolist()
+
+
+def test_new_words_take_no_python_step_each(encoding, monkeypatch):
+    """Texts of words never met before: what a worker pays a byte must not be a Python call."""
+    rng = np.random.RandomState(41)
+    syllables = [" ", "tion", "é", "èr", "an", "ß", "str", "ou", "e", "9", "7", "-", "漢", "'ll"]
+    texts = ["".join(syllables[k] for k in rng.randint(0, len(syllables), 400)) for _ in range(200)]
+    texts = [" ".join(w[:30] for w in t.split(" ")) for t in texts]
+    monkeypatch.setattr(tokens.TokenTransducer, "step", lambda *_: pytest.fail("a word was walked in Python"))
+    assert _counted(texts) == [len(encoding.encode_ordinary(t)) for t in texts]
+
+
+def test_words_of_any_length(encoding):
+    rng = np.random.RandomState(42)
+    texts = ["x" * k + " " + "".join(chr(97 + c) for c in rng.randint(0, 26, k)) + "=-" * (k // 2) + "7" * k for k in (1, 2, 31, 62, 63, 64, 65, 66, 127, 500, 3000)]
+    assert _counted(texts) == [len(encoding.encode_ordinary(t)) for t in texts]
+
+
+def test_arrays_of_vocabularies_with_few_bytes():
+    """Chains of merges of one rank on both sides of a border; a byte that the vocabulary lacks is an error."""
+    ranks = {bytes([b]): b for b in range(97, 100)} | {t: 100 + k for k, t in enumerate([b"aa", b"ab", b"aaaa", b"ba", b"aab", b"abab", b"cab", b"aaaaaaaa", b"bb"])}
+    encoder = tiktoken.Encoding("few", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    words = [bytes(w) for n in range(1, 8) for w in itertools.product(b"abc", repeat=n)] + [b"a" * n for n in range(8, 60)]
+    end = np.cumsum([len(w) for w in words])
+    arrays = tokens.TokenArrays(tokens.TokenTransducer(ranks))
+    got = arrays.counts(np.frombuffer(b"".join(words), np.uint8), end - [len(w) for w in words], end)
+    assert got.tolist() == [len(encoder.encode_ordinary(w.decode())) for w in words]
+    with pytest.raises(ValueError, match="lacks a byte"):
+        arrays.counts(np.frombuffer(b"abd", np.uint8), np.array([0]), np.array([3]))
+
+
 def test_secrets_against_counts(docs):
     rows = [r.asDict() for r in docs.collect()]
     where = {}
