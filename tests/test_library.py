@@ -2,10 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siltstone.functions import text as T
 from siltstone.operators import neardup as N
+from siltstone.operators.lineage import cut
 from siltstone.plans.registry import library_queries, library_sql
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -121,3 +123,14 @@ def test_forks_are_matched_one_to_one(spark, tmp_path):
     want = brute_forks(rows)
     assert [r[:3] for r in want] == [("p", "q", 7), ("u", "v", 6)]
     assert sorted(map(tuple, library_queries()["matched_forks"](spark, str(tmp_path)).select("file_a", "file_b", "n_pairs", "mean_jaccard").collect())) == want
+
+
+def test_plans_know_the_size_of_what_is_cut(spark):
+    """Not what was estimated for the plan before: too little after an explode, a product of products after joins in rounds."""
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    many = cut(spark.range(10).select("id", F.explode(F.sequence(F.lit(1), F.lit(20_000))).alias("k")).select("id", F.xxhash64("id", "k").alias("h")))
+    assert size(many) > 8 * 200_000
+    rows = cut(spark.range(10))
+    for _ in range(3):
+        rows = cut(rows.join(rows.select("id"), "id").join(rows.select("id"), "id"))
+    assert rows.count() == 10 and size(rows) < 1e6
