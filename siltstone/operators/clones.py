@@ -9,6 +9,9 @@ from . import lines as L
 from . import neardup as N
 from .lineage import cut
 
+#: The facts that ``same_shape`` and ``near_findings`` ask for.
+SHAPE_FACTS = tuple(f"functions.{f}" for f in ("name", "line", "n_stmts", "shape"))
+NEAR_FACTS = tuple(f"functions.{f}" for f in ("name", "line", "end", "shape", "dotted", "shingles"))
 TWINS = ("property", "cached_property", "getter", "setter", "deleter")
 
 
@@ -31,7 +34,8 @@ def same_shape(facts: DataFrame, report: DataFrame | None = None) -> DataFrame:
     The first is the least of those outside ``report`` (path), if any are. One aggregation finds it, so
     a shape that very many functions share is no task of its own.
     """
-    rows = functions(facts).where("n_stmts >= 5").select("path", "line", "name", "shape")
+    # written once: read twice, it would be parsed twice
+    rows = cut(functions(facts).where("n_stmts >= 5").select("path", "line", "name", "shape"))
     rows = rows.withColumn("own", F.lit(True)) if report is None else rows.join(report.select("path").distinct().withColumn("own", F.lit(True)), "path", "left").withColumn("own", F.coalesce("own", F.lit(False)))
     place = F.struct("path", "line", "name")
     firsts = rows.groupBy("shape").agg(F.count("*").alias("n"), F.coalesce(F.min(F.when(~F.col("own"), place)), F.min(place)).alias("first")).where("n > 1")

@@ -35,9 +35,14 @@ def literals(texts: list[str]) -> str:
     return "[" + ", ".join(map(quoted, texts)) + "]"
 
 
+#: Files that one task parses.
+TASK_FILES = 10_000
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows to plant in. They are few bytes and become much to parse, so all cores get their share of them."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)
+    """The rows to plant in. They are few bytes and become much to parse, so all cores get their share of them, TASK_FILES a task or a few more."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    return part.repartition(max(spark.sparkContext.defaultParallelism, -(-part.count() // TASK_FILES)))
 
 
 def files(spark: SparkSession, sf_dir: str, variants: list[Variant], path: str) -> DataFrame:
@@ -56,12 +61,39 @@ def planted_sql(variants: list[Variant], path: str) -> str:
     return f"SELECT replace('{path}', '@K@', p_partkey::VARCHAR) AS file, v.rule, v.severity, v.line FROM part JOIN (VALUES {', '.join(rows)}) v(i, rule, severity, line) ON p_partkey % {len(variants)} = v.i"
 
 
+#: The facts that rules ask for; a fact that is missing here is a column that the query cannot resolve.
+_FACTS = {
+    "py_syntax": "error",
+    "dead_code": "dead",
+    "exceptions": "handlers",
+    "imports": "imports names exported",
+    "private_names": "tops methods loads attributes",
+    "write_only": "attrs",
+    "placeholders": "functions.name functions.line functions.decorators functions.class functions.declares functions.empty functions.doc",
+    "mutable_defaults": "functions.name functions.defaults",
+    "size_nesting": "functions.name functions.line functions.span functions.depth functions.depth_line",
+    "single_method": "classes",
+    "debug_prints": "logs prints",
+    "type_ignores": "comments",
+    "test_asserts": "tests.name tests.line tests.empty tests.asserts",
+    "tautology": "tests.same",
+    "conditional_asserts": "tests.name tests.asserts",
+    "overspecified": "tests.sides",
+    "mock_echo": "tests.sides tests.planted",
+    "sleeps": "tests.sleeps",
+    "private_pokes": "tests.pokes",
+    "mock_counts": "tests.name tests.line tests.mocks",
+    "parametrize": "tests.name tests.line tests.n_body tests.parametrized tests.shape",
+}
+
+
 def plant(name: str, pick: Callable[[], list[Column]], variants: list[Variant], path: str = "/r/src/m@K@.py") -> None:
     """Register the query ``name``: the given rules over the planted files."""
-    read = parsed if path.endswith(".py") else scripts.scripts
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rules.reported(read(files(spark, sf_dir, variants, path)), pick()).drop("message")
+        made = files(spark, sf_dir, variants, path)
+        read = parsed(made, *_FACTS[name].split(), *["harness"] * ("tests." in _FACTS[name])) if path.endswith(".py") else scripts.scripts(made)
+        return rules.reported(read, pick()).drop("message")
 
     QUERIES[name] = run
     SQL[name] = planted_sql(variants, path)
@@ -286,7 +318,7 @@ def dup_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = parts(spark, sf_dir).select(F.col("p_partkey").alias("k"))
     text = F.format_string("@wrap\ndef f%d(a%d, b: int = 2) -> int:\n    \"\"\"Of %d.\"\"\"\n    t%d = a%d + %d\n    for i%d in range(b):\n        t%d += i%d\n    return t%d\n", *["k"] * 5, F.floor(F.col("k") / 3), *["k"] * 4)
     made = part.select(F.format_string("/r/m%09d.py", "k").alias("path"), text.alias("text"))
-    return clones.same_shape(parsed(made)).drop("message")
+    return clones.same_shape(parsed(made, *clones.SHAPE_FACTS)).drop("message")
 
 
 QUERIES["dup_functions"] = dup_functions
@@ -299,7 +331,7 @@ def diverged_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = "".join(f"    v{n}_@G@ = w{n}_@G@ * u{n + 1}_@G@ + z{n}_@G@\n" for n in range(12))
     text = F.concat(F.lit("def f_@G@(x):\n"), F.lit(body), F.when(F.col("k") % 2 == 0, "    return v1_@G@\n").otherwise("    return max(v2_@G@, v3_@G@)\n"))
     made = part.select(F.format_string("/r/m%09d.py", "k").alias("path"), F.regexp_replace(text, F.lit("@G@"), F.col("g").cast("string")).alias("text"))
-    return clones.near_findings(parsed(made)).drop("message")
+    return clones.near_findings(parsed(made, *clones.NEAR_FACTS)).drop("message")
 
 
 QUERIES["diverged_functions"] = diverged_functions

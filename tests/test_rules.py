@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import clones, lines, rules
 from siltstone.operators import neardup as N
 from siltstone.operators.lineage import cut
+from siltstone.plans import planted
 from siltstone.plans.catalog import RULES
 from siltstone.plans.planted import QUERIES, SQL
 from siltstone.plans.scan import analyze, raw_findings
@@ -318,3 +319,33 @@ def test_batches_of_events_that_fail_pass_unseen(spark, tmp_path, monkeypatch, c
     monkeypatch.setenv(guard.OFF_VARIABLE, "1")
     run("off", lambda events: events)
     assert told == [("good", 1)]
+
+
+def test_only_the_facts_asked_for_are_made(spark, monkeypatch):
+    """They are the ones of a whole reading, for files with one text too; the others cost nothing."""
+    text = "import os\n@wrap\ndef test_a(m):\n    m.f.return_value = 'blue'\n    assert go() == 'blue'\n\nclass A:\n    def go(self, a=[]):\n        if a:\n            return 1\n"
+    files = [(f"/r/tests/test_{k}.py", t) for k, t in enumerate([text, "def f(:\n", text, None, "x = 1\n" * 2000, text, "x = '\\ud800'\n"])]
+    whole = {r["path"]: r.asDict(True) for r in pyfacts.parsed(frame(spark, files)).collect()}
+    for wanted in (["tests.sides", "tests.planted", "harness"], ["functions.name", "functions.depth_line", "functions.shingles", "functions.defaults"], ["classes", "attributes", "error"]):
+        got = {r["path"]: r.asDict(True) for r in pyfacts.parsed(frame(spark, files), *wanted).collect()}
+        kept = {w.partition(".")[0]: {v.partition(".")[2] for v in wanted if v.partition(".")[0] == w.partition(".")[0]} for w in wanted}
+        cut_down = lambda v, names: [{k: x for k, x in e.items() if k in names} for e in v] if isinstance(v, list) and names != {""} else v
+        assert got == {p: {"path": p} | {c: cut_down(r[c], names) for c, names in kept.items()} for p, r in whole.items()}
+    monkeypatch.setattr(pyfacts, "shingles", None)
+    monkeypatch.setattr(pyfacts, "function_shape", None)
+    monkeypatch.setattr(pyfacts, "comments_of", None)
+    assert pyfacts.facts(text, pyfacts.fields_of(pyfacts.schema_of("tests.sides")))["tests"] == [{"sides": [{"line": 5, "kind": "other", "n": 0, "value": None}, {"line": 5, "kind": "str", "n": 4, "value": "s:blue"}]}]
+    with pytest.raises(ValueError):
+        pyfacts.schema_of("no_such")
+
+
+def test_runs_of_texts_are_bounded():
+    texts = ["x"] * 600 + ["y" * pyfacts.CHARS * 2, "z"]
+    runs = [texts[r] for r in pyfacts.runs(texts)]
+    assert [t for r in runs for t in r] == texts and list(pyfacts.runs([])) == []
+    assert all(len(r) == 1 or len(r) <= pyfacts.ROWS and sum(map(len, r)) <= pyfacts.CHARS for r in runs)
+
+
+def test_tasks_to_parse_grow_in_number_not_in_size(spark, tmp_path):
+    spark.range(10 * planted.TASK_FILES - 5).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    assert planted.parts(spark, str(tmp_path)).rdd.getNumPartitions() == 10
