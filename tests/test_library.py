@@ -134,3 +134,25 @@ def test_plans_know_the_size_of_what_is_cut(spark):
     for _ in range(3):
         rows = cut(rows.join(rows.select("id"), "id").join(rows.select("id"), "id"))
     assert rows.count() == 10 and size(rows) < 1e6
+
+
+def test_pairs_do_not_depend_on_the_order_of_shingles(spark, monkeypatch):
+    """Ranked by two sets, by all and not at all, and ordered few at a time: against all pairs of sets."""
+    texts = [[f"{k % 5}w{j}" for j in range(90)] for k in range(40)]
+    for k, words in enumerate(texts):
+        words[: k // 5] = [f"own{k}_{j}" for j in range(k // 5)]
+        words[70:] = [f"line{j}" for j in range(20)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = {(i, j): round(len(x & y) / len(x | y), 6) for j, y in enumerate(sets) for i, x in enumerate(sets[:j])}
+    files = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "path long, text string")
+    _, own = N.classes(N.word_sets(files))
+    for few, ranked, at_once in ((2, 10, 100), (100, 200_000, 1 << 20), (100, 0, 1)):
+        monkeypatch.setattr(N, "ORDERED_BY", few)
+        monkeypatch.setattr(N, "RANKED", ranked)
+        monkeypatch.setattr(N, "AT_ONCE", at_once)
+        assert {(r["a"], r["b"]): round(r["jaccard"], 6) for r in N.class_pairs(own).collect()} == {p: v for p, v in want.items() if v >= N.LOW}
+
+
+def test_shingles_are_shuffled_once_for_their_index(spark, sf):
+    plan = library_queries()["shingle_index"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(h") == 1 and "Join" not in plan
