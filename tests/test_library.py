@@ -156,3 +156,10 @@ def test_pairs_do_not_depend_on_the_order_of_shingles(spark, monkeypatch):
 def test_shingles_are_shuffled_once_for_their_index(spark, sf):
     plan = library_queries()["shingle_index"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(h") == 1 and "Join" not in plan
+
+
+def test_postings_are_shuffled_once(spark):
+    shingles = spark.createDataFrame([(k, h) for h in range(30) for k in range(h)], "id long, h long")
+    index = N.postings(shingles)
+    assert {r["h"]: r["ids"] for r in index.collect()} == {h: list(range(h)) for h in range(2, N.MAX_DF + 1)}
+    assert index._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("Initial Plan")[0].count("Exchange") == 1
